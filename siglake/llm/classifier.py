@@ -67,8 +67,10 @@ def votes_of(text: bytes, words: list[bytes], seen: set[bytes], lexicon: tuple[s
     )
 
 
-def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior_bad: float = 0.1) -> dict[tuple[int, ...], float]:
-    """The posterior of "bad" for each pattern. An abstention is a missing vote and says nothing."""
+def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior_bad: float = 0.1, false_alarms: float = 0.0005, faith: float = 10) -> dict[tuple[int, ...], float]:
+    """The posterior of "bad" for each pattern. An abstention is a missing vote and says nothing.
+
+    Labellers are made to be right when they say bad: a prior of ``faith`` times the data's weight holds their rate of false alarms near ``false_alarms``."""
     if not patterns:
         return {}
     keys = sorted(patterns)
@@ -77,7 +79,7 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     p = np.where(bad.any(1), 0.9, np.where(good.any(1), 0.01, prior_bad))
     for _ in range(rounds):
         logs = []
-        for weight, first in ((n * p, (0.2, 0.8)), (n * (1 - p), (0.02, 0.98))):  # a pseudo-vote keeps a labeller that is never wrong finite
+        for weight, first in ((n * p, (0.2, 0.8)), (n * (1 - p), (faith * n.sum() * false_alarms, faith * n.sum() * (1 - false_alarms)))):
             says_bad, says_good = weight @ bad + first[0], weight @ good + first[1]
             rate = says_bad / (says_bad + says_good)
             logs.append(np.log((weight.sum() + 1) / (n.sum() + 2)) + bad @ np.log(rate) + good @ np.log(1 - rate))
@@ -113,13 +115,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: in
 
 
 def toxic_lexicon(documents: DataFrame, labels: DataFrame, lexicon_docs: int, size: int = 5000) -> list[str]:
-    """Words that at least 1 % of the labelled toxic texts hold (5 at least) and hardly another text, in at most lexicon_docs labelled rows."""
+    """Words that at least 1 % of the labelled toxic texts hold (4 at least) and hardly another text, in at most lexicon_docs labelled rows."""
     held = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(lexicon_docs)
     texts = documents.select("doc_id", "text").join(F.broadcast(held), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     words = texts.select("toxic", F.explode(F.expr(f"array_distinct({words_sql(lower_sql('text'), ALNUM_GAP)})")).alias("word"))
     n_toxic = texts.where("toxic = 1").count()
     counted = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
-    found = counted.where(f"bad >= {max(5, n_toxic // 100)} and bad >= 0.8 * n").orderBy(F.desc("bad"), "word").limit(size)
+    found = counted.where(f"bad >= {max(4, n_toxic // 100)} and bad >= 0.95 * n").orderBy(F.desc("bad"), "word").limit(size)
     return [r.word for r in found.collect()]
 
 
