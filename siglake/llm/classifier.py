@@ -18,12 +18,13 @@ ones; votes, patterns, posteriors and scores cover all documents.
 Edge cases. Null or empty text: every labeller abstains, the row is kept with
 the prior's score. Repeated documents: a row each. No labels: the lexicon is
 empty. Empty table: no rows. Labels with null toxic are left out. Extra columns
-pass through classify and are ignored by score.
+are ignored unless carry names them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from itertools import islice
 from operator import eq
 from zlib import crc32
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siglake.llm.common import ALNUM_GAP, lower_sql, words_sql
 from siglake.llm.decontaminate import words_of
@@ -136,8 +138,8 @@ def _looked_at(batches, lexicon, make, schema):
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def score(documents: DataFrame, labels: DataFrame, *, train_docs: int = 20_000, lexicon_docs: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """doc_id, posterior (of the vote pattern), score (of the linear scorer) and kept for every document."""
+def score(documents: DataFrame, labels: DataFrame, *, train_docs: int = 20_000, lexicon_docs: int = 20_000, threshold: float = 0.5, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns named in carry, posterior (of the vote pattern), score (of the linear scorer) and kept for every document."""
     sc = documents.sparkSession.sparkContext
     found = [w.encode() for w in toxic_lexicon(documents, labels, lexicon_docs)]
     lexicon = tuple({w for w in found if crc32(w) % 2 == k} for k in (0, 1))
@@ -174,17 +176,22 @@ def score(documents: DataFrame, labels: DataFrame, *, train_docs: int = 20_000,
     rows = rows.iloc[sorted(range(len(rows)), key=lambda k: (crc32(np.asarray(rows.ids[k], dtype=np.int32).tobytes()), len(rows.ids[k])))]  # an order that depends on the rows alone
     weights, bias = train([np.asarray(x, dtype=np.int32) for x in rows.ids], np.array([posterior[tuple(map(int, v))] for v in rows.votes])) if len(rows) else (np.zeros(DIMENSIONS, np.float32), 0.0)
     model = sc.broadcast((lexicon, posterior, weights, bias))
-    kind = todo.schema["doc_id"].dataType.simpleString()
+    carry = [c for c in carry if c not in ("posterior", "score", "kept")]
+    fields = [documents.schema[c] for c in carry]
 
     def scored(batches):
         lexicon, posterior, weights, bias = model.value
         for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("posterior", pa.float64()), ("score", pa.float64())])
-
-            def make(i, seen, votes):
+            chance, scores = [], []
+            for text in batch["_text"]:
+                text = text.as_py() or b""
+                words = words_of(text)
+                seen = set(words)
+                votes = votes_of(text, words, seen, lexicon)
                 z = bias + float(np.sort(weights[features(seen, votes)]).sum(dtype=np.float64))
-                return {"doc_id": i, "posterior": posterior.get(votes, 0.5), "score": float(1 / (1 + np.exp(-np.clip(z, -500, 500))))}
-
-            yield from _looked_at([batch], lexicon, make, schema)
+                chance.append(posterior.get(votes, 0.5))
+                scores.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), pa.array(chance, pa.float64()), pa.array(scores, pa.float64())], names=[*carry, "posterior", "score"])
 
-    return todo.mapInArrow(scored, f"doc_id {kind}, posterior double, score double").withColumn("kept", F.col("score") < threshold)
+    schema = StructType([*fields, StructField("posterior", DoubleType()), StructField("score", DoubleType())])
+    return documents.select(*carry, F.col("text").cast("binary").alias("_text")).mapInArrow(scored, schema).withColumn("kept", F.col("score") < threshold)

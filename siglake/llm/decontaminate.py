@@ -16,26 +16,28 @@ Edge cases. Null or empty text: no words, a row with zeros. Null item text or
 an item without words: no window. Item shorter than ``window``: one window of
 all its words. Repeated documents: a row each. Repeated items: counted once by
 item_id; a null item_id marks words as hit but is not listed. Empty tables: no
-rows, or no hits. Extra columns of either table are ignored.
+rows, or no hits. Extra columns are ignored unless carry names
+them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from siglake.llm.common import materialize
 
 #: A-Z to a-z, digits and bytes of 0x80 or more kept, everything else a gap.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-HITS = "hits array<struct<start:int,n:int,item_id:string,item_start:int>>"
+HITS = "array<struct<start:int,n:int,item_id:string,item_start:int>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -109,54 +111,47 @@ def blocks(benchmark: DataFrame, window: int, block_words: int):
     yield Block(held, window)
 
 
-def find_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 1_000_000, shard_words: int = 400_000) -> DataFrame:
-    """doc_id, n_words and hits, the longest verbatim matches with their places, for every document."""
+def find_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 1_000_000, shard_words: int = 400_000, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns named in carry, n_words and hits, the longest verbatim matches with their places, for every document."""
     spark = documents.sparkSession
-    todo = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    kind = todo.schema["doc_id"].dataType.simpleString()
+    carry = [c for c in carry if c not in ("_text", "n_words", "hits")]
+    todo = documents.select(*carry, F.col("text").cast("binary").alias("_text"))
+    schema = StructType([*todo.schema.fields, StructField("n_words", LongType()), StructField("hits", DataType.fromDDL(HITS))])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())]))
     first = True
     for block in blocks(benchmark, window, block_words):
         if not first:  # one block at a time is held by the tasks
             todo = materialize(todo, "decontaminate")
         held = spark.sparkContext.broadcast(block)
 
-        def search(batches, held=held, first=first, shard_words=shard_words):
+        def search(batches, held=held, first=first):
             block = held.value
 
-            def rows(shard):
+            def searched(shard):
                 ids = []
-                for text in shard[1]:
-                    words = words_of(text)
+                for text in shard["_text"]:
+                    words = words_of(text.as_py())
                     ids.append(np.fromiter(map(block.vocab.get, words, repeat(0)), dtype=np.uint32, count=len(words)))
-                new = [[dict(zip(("start", "n", "item_id", "item_start"), x)) for x in hits] for hits in block.search(ids)]
-                hits = new if first else [a + b for a, b in zip(shard[2], new)]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(shard[0], kinds[0]), pa.array(shard[1], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())])))],
-                    names=["doc_id", "text", "n_words", "hits"],
-                )
+                hits = [[dict(zip(("start", "n", "item_id", "item_start"), x)) for x in found] for found in block.search(ids)]
+                if not first:
+                    hits = [a + b for a, b in zip(shard["hits"].to_pylist(), hits)]
+                return pa.RecordBatch.from_arrays([*(shard[c] for c in carry), shard["_text"], pa.array([len(x) for x in ids], pa.int64()), pa.array(hits, kind)], names=[*carry, "_text", "n_words", "hits"])
 
             for batch in batches:
-                kinds = [batch.schema.field("doc_id").type]
-                shard, size = ([], [], []), 0
-                for k in range(batch.num_rows):
-                    text = batch["text"][k].as_py()
-                    shard[0].append(batch["doc_id"][k].as_py())
-                    shard[1].append(text)
-                    shard[2].append([] if first else batch["hits"][k].as_py())
-                    size += len(text or b"")
-                    if size > 6 * shard_words:  # a word and its gap take about six bytes
-                        yield rows(shard)
-                        shard, size = ([], [], []), 0
-                if shard[0]:
-                    yield rows(shard)
-
-        todo = todo.mapInArrow(search, f"doc_id {kind}, text binary, n_words bigint, {HITS}")
+                begin, size = 0, 0
+                for k, text in enumerate(batch["_text"]):
+                    size += len(text.as_buffer() or b"") if text.is_valid else 0
+                    if size > 6 * shard_words or k + 1 == batch.num_rows:  # a word and its gap take about six bytes
+                        yield searched(batch.slice(begin, k + 1 - begin))
+                        begin, size = k + 1, 0
+
+        todo = todo.mapInArrow(search, schema)
         first = False
-    return todo.drop("text")
+    return todo.drop("_text")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The digest of find_matches for every document; ``contaminated`` is what to remove by.
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, carry: Sequence[str] = ("doc_id",), **options) -> DataFrame:
+    """The columns named in carry and the digest of find_matches for every document; ``contaminated`` is what to remove by.
 
     n_hit counts words inside any match once, by a sweep over the sorted matches."""
     swept = F.expr(
@@ -164,17 +159,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
         " (a, x) -> struct(greatest(a.e, x.e) as e, a.n + greatest(0, x.e - greatest(a.e, x.s)) as n), a -> cast(a.n as bigint))"
     )
     items = F.array_sort(F.array_distinct(F.expr("filter(transform(hits, h -> h.item_id), i -> i is not null)")))
-    return find_matches(documents, benchmark, **options).select(
-        "doc_id",
-        "n_words",
-        swept.alias("n_hit"),
-        F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.expr("transform(hits, h -> h.n)")), F.lit(0)).cast("bigint").alias("longest_match"),
-        "hits",
-    )
-
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    added = {
+        "n_words": F.col("n_words"),
+        "n_hit": swept,
+        "n_items": F.size(items).cast("bigint"),
+        "items_sha256": F.sha2(F.array_join(items, ","), 256),
+        "contaminated": F.size("hits") > 0,
+        "longest_match": F.coalesce(F.array_max(F.expr("transform(hits, h -> h.n)")), F.lit(0)).cast("bigint"),
+        "hits": F.col("hits"),
+    }
+    carry = [c for c in carry if c not in added]
+    return find_matches(documents, benchmark, carry=carry, **options).select(*carry, *[v.alias(k) for k, v in added.items()])
