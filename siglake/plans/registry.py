@@ -231,7 +231,7 @@ _lens = "CAST(l_quantity AS INT) % 9 + 1", "l_linenumber % 3", "l_linenumber % 4
 
 @query("SELECT read_id, 0 AS segment, pos + k AS ref_pos, l1 + k AS read_pos FROM (SELECT *, unnest(range(m1)) AS k FROM c) UNION ALL SELECT read_id, 0, pos + m1 + d + k, l1 + m1 + i + k FROM (SELECT *, unnest(range(m2)) AS k FROM c)".replace("FROM c)", "FROM (SELECT l_orderkey * 10 + l_linenumber AS read_id, l_partkey AS pos, 2 AS l1, {} AS m1, {} AS d, {} AS i, {} AS m2 FROM lineitem))".format(*_lens)))
 def cigar_pairs(spark, sf):
-    ops = "array(struct('S' as op, 2 as len), struct('M', {}), struct('D', {}), struct('I', {}), struct('M', {}))".format(*_lens)
+    ops = "array(named_struct('op', 'S', 'len', 2), " + ", ".join(f"named_struct('op', '{o}', 'len', {n})" for o, n in zip("MDIM", _lens)) + ")"
     d = spark.sql(CIGAR.format(ops=ops, t="{t}"), t=spark.read.parquet(f"{sf}/lineitem.parquet"))
     return E.cigar_pairs(d.withColumn("ops", F.col("ops").cast("array<struct<op:string,len:int>>")), "read_id")
 
@@ -310,4 +310,16 @@ def base_event_map(spark, sf):
     return E.base_to_event(pairs, "read_id")
 
 
+@query(FREQ.format(calls=CALLS))
+def streaming_meth_freq(spark, sf):
+    """The stream reads the events table as files and ends when all are read."""
+    from siglake.plans.views import VIEWS
+    from siglake.streaming.frequency import run_available
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    calls = stream.selectExpr(*[f"{sql} as `{c}`" for c, sql in VIEWS["methcalls"][1].items()])
+    return run_available(spark, calls, "streamed_sites")
+
+
 from siglake.plans import kernel_queries  # noqa: E402, F401  registers the kernels
