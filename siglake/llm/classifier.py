@@ -172,9 +172,15 @@ def score(documents: DataFrame, labels: DataFrame, *, train_docs: int = 20_000,
     def featured(batches):
         yield from _looked_at(batches, held.value, lambda i, s, v: {"votes": "".join(map(str, v)), "ids": features(s, v)}, h)
 
-    rows = sample.limit(train_docs).mapInArrow(featured, "votes string, ids array<int>").toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda k: (crc32(np.asarray(rows.ids[k], dtype=np.int32).tobytes()), len(rows.ids[k])))]  # an order that depends on the rows alone
-    weights, bias = train([np.asarray(x, dtype=np.int32) for x in rows.ids], np.array([posterior[tuple(map(int, v))] for v in rows.votes])) if len(rows) else (np.zeros(DIMENSIONS, np.float32), 0.0)
+    table = sample.mapInArrow(featured, "votes string, ids array<int>").limit(train_docs).toArrow().combine_chunks()
+    votes, ids = table["votes"].to_pylist(), table["ids"].combine_chunks() if table.num_rows else None
+    weights, bias = np.zeros(DIMENSIONS, np.float32), 0.0
+    if ids is not None:
+        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]  # views of one buffer
+        order = sorted(range(len(rows)), key=lambda k: (crc32(rows[k].tobytes()), len(rows[k])))  # depends on the rows alone
+        weights, bias = train([rows[k] for k in order], np.array([posterior[tuple(map(int, votes[k]))] for k in order]))
+        del table, ids, flat, rows
     model = sc.broadcast((lexicon, posterior, weights, bias))
     carry = [c for c in carry if c not in ("posterior", "score", "kept")]
     fields = [documents.schema[c] for c in carry]
