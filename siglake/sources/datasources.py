@@ -115,5 +115,6 @@ class Blow5(_source("blow5", SIGNAL, formats.read_blow5)):
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Fastx, Slow5, Blow5, Bam):
         spark.dataSource.register(source)
