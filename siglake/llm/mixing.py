@@ -15,7 +15,8 @@ found from those sums, and only its documents (a 4,096th of the leaf) are
 ranked. The cut is kept as a hash value per leaf, so the selection is a filter.
 
 Edge cases. Null text: no tokens, never drawn by a prefix with tokens in it but
-free to take. Null domain, lang or source: written as an empty name. Repeated
+free to take. Null domain, lang or source: an empty name in the
+tree; lang and source pass through as they are. Repeated
 documents share their hash and are taken or left together. Empty table: no
 rows. Extra columns pass through unless they bear a name the operator adds.
 """

@@ -23,7 +23,7 @@ def op6_mixing(spark, sf_dir):
 def mix_sql(docs: str) -> str:
     return rf"""
 stats AS (
-  SELECT doc_id, coalesce({DOMAIN}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM {docs}
+  SELECT doc_id, lang AS own_lang, source AS own_source, coalesce({DOMAIN}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM {docs}
 ), caps AS (
   SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {EPOCHS})::BIGINT AS cap FROM stats GROUP BY ALL
 ), got AS ({budget_sql("caps", WEIGHTS, SHARE, "//")}
@@ -31,7 +31,7 @@ stats AS (
   SELECT s.*, CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN got % tokens ELSE 0 END AS rest, sum(n_tokens) OVER (PARTITION BY s.domain, s.lang, s.source ORDER BY key) AS upto
   FROM stats s JOIN got g ON s.domain = g.domain AND s.lang = g.lang AND s.source = g.source
 ), drawn AS (
-  SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked
+  SELECT doc_id, domain, own_lang AS lang, own_source AS source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked
 )"""
 
 

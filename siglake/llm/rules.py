@@ -27,11 +27,11 @@ from siglake.llm.common import WORD_GAP, checked_broadcast, materialize, words_s
 SKETCH_BITS = 7
 #: metric: (SQL over the counts, slack that is always allowed, whether a low value is as bad as a high one)
 METRICS = {
-    "word_length": ("100 * word_chars div n_words", 100, True),
-    "symbols": ("10000 * n_symbols div word_chars", 100, False),
-    "dup_lines": ("10000 * n_dup_lines div n_words", 200, False),
-    "repeats": ("10000 * n_repeat_words div n_words", 1000, False),
-    "capitals": ("10000 * n_capitals div word_chars", 1000, False),
+    "word_length": ("100 * word_chars div nullif(n_words, 0)", 100, True),
+    "symbols": ("10000 * n_symbols div nullif(word_chars, 0)", 100, False),
+    "dup_lines": ("10000 * n_dup_lines div nullif(n_words, 0)", 200, False),
+    "repeats": ("10000 * n_repeat_words div nullif(n_words, 0)", 1000, False),
+    "capitals": ("10000 * n_capitals div nullif(word_chars, 0)", 1000, False),
 }
 
 
