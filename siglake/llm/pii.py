@@ -2,10 +2,10 @@
 
 Card numbers (Luhn), IBANs (mod 97), social security numbers, phone numbers,
 IPv4 addresses and dates are found, validated and permuted within their format:
-the digits of a value are the two halves of an alternating Feistel network with
+the digits of a value (and the letters of an IBAN) are the two halves of an alternating Feistel network with
 modular addition, eight rounds of keyed SHA-256, so the mapping is one-to-one,
-check digits are computed anew, and separators stay. A date is a day of the
-400-year cycle from 1900-01-01, 27 x 5411 days, which are the two halves. An IP
+check digits are computed anew, and separators stay. A date is a day of its
+400-year cycle, counted from 1900-01-01, 27 x 5411 days, which are the two halves. An IP
 address is two halves of 16 bits. Equal values get equal pseudonyms in every
 document, whatever separators they are written with. The local part and domain
 of an e-mail address, which are no numbers, get keyed digests.
@@ -25,10 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: countries by the characters after an IBAN's check digits; of others, IBANs of digits or without spaces are found
+IBANS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FK|FO|GL|NL|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|MN|XK", 17: "CH|HR|LI|LV", 18: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    19: "AE|GI|IL|IQ|OM|SO|TL", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "AO|CV|GW|LY|MZ|PT|ST", 22: "DZ|IR|IS|TR",
+    23: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD", 24: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
+}
+IBAN = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{n // 4}}}" + (f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
 #: kind: pattern, tried in this order at each place
 PATTERNS = {
     "email": r"[A-Za-z0-9\u0080-￿][A-Za-z0-9._%+\u0080-￿-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,5}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": rf"(?<![0-9A-Za-z])(?:{IBAN}|[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]{{11,30}}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -87,11 +95,31 @@ def _card(key: str) -> str:
     return with_(digits("m"), "d", body)
 
 
+def permuted_letters(key: str, kind: str, x: str) -> str:
+    """SQL: a string of as many letters A-Z, each piece of up to 12 by the permutation of its halves."""
+    number = lambda t: f"CASE WHEN {t} = '' THEN 0L ELSE aggregate(split({t}, ''), 0L, (a, c) -> a * 26 + ascii(c) - 65) END"
+    power = lambda n: f"cast(pow(26, {n}) as bigint)"
+    letters = lambda v, n: f"CASE WHEN {n} = 0 THEN '' ELSE array_join(transform(sequence(1, {n}), j -> char(65 + pmod({v} div {power(f'({n} - j)')}, 26L))), '') END"
+
+    def piece(p):
+        u, v = f"((length({p}) + 1) div 2)", f"(length({p}) div 2)"
+        half = feistel(key, kind, number(f"substr({p}, 1, {u})"), number(f"substr({p}, {u} + 1)"), power(u), power(v))
+        return with_(half, "f", lambda f: f"concat({letters(f'{f}.l', u)}, {letters(f'{f}.r', v)})")
+
+    return f"array_join(transform(filter(array(substr({x}, 1, 12), substr({x}, 13, 12), substr({x}, 25)), p -> p <> ''), p -> {piece('p')}), '')"
+
+
 def _iban(key: str) -> str:
-    numbers = "concat(cast(ascii(substr(m, 1, 1)) - 55 as string), cast(ascii(substr(m, 2, 1)) - 55 as string))"
-    mod97 = lambda bban, check: f"cast(cast(concat({bban}, {numbers}, {check}) as decimal(38, 0)) % 97 as int)"
-    body = lambda d: f"CASE WHEN {mod97(f'substr({d}, 3)', f'substr({d}, 1, 2)')} = 1 THEN " + with_(permuted_digits(key, "iban", f"substr({d}, 3)"), "b", lambda b: refill("m", f"concat(lpad(cast(98 - {mod97(b, "'00'")} as string), 2, '0'), {b})")) + " END"
-    return with_(digits("m"), "d", body)
+    # letters count as 10 to 35; x is the account part, the country and the check digits
+    mod97 = lambda x: f"aggregate(split({x}, ''), 0, (a, c) -> CASE WHEN c < 'A' THEN (a * 10 + cast(c as int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+    count = lambda x, j, kind: f"length(regexp_replace(substr({x}, 1, {j}), '[^{kind}]', ''))"
+    d, t = digits("substr(w, 5)"), "regexp_replace(substr(w, 5), '[^A-Z]', '')"
+    new_d = with_(d, "d", lambda d: f"CASE WHEN length({d}) > 1 THEN {permuted_digits(key, 'iban', d)} WHEN {d} = '' THEN '' ELSE cast(pmod(cast({d} as bigint) + {keyed(key, "'iban:1'")}, 10) as string) END")
+    new = f"transform(array(struct({new_d} as d, {permuted_letters(key, 'iban-letters', t)} as t)), n -> array_join(transform(sequence(5, length(w)), j -> CASE WHEN substr(w, j, 1) < 'A' THEN substr(n.d, {count('substr(w, 5)', 'j - 4', '0-9')}, 1) ELSE substr(n.t, {count('substr(w, 5)', 'j - 4', 'A-Z')}, 1) END), ''))"
+    check = f"lpad(cast(98 - {mod97("concat(b, substr(w, 1, 2), '00')")} as string), 2, '0')"
+    spaced = lambda x: f"array_join(transform(sequence(1, length(m)), j -> CASE WHEN substr(m, j, 1) = ' ' THEN ' ' ELSE substr({x}, {count('m', 'j', '0-9A-Z')}, 1) END), '')"
+    out = f"get(transform({new}, b -> {with_(f"concat(substr(w, 1, 2), {check}, b)", 'y', spaced)}), 0)"
+    return with_("replace(m, ' ', '')", "w", lambda w: f"CASE WHEN length(w) between 15 and 34 and {mod97('concat(substr(w, 5), substr(w, 1, 4))')} = 1 THEN {out} END")
 
 
 def _phone(key: str) -> str:
@@ -116,8 +144,10 @@ def _ip(key: str) -> str:
 def _date(key: str) -> str:
     day = "CASE WHEN m like '____-%' THEN try_to_date(m, 'yyyy-MM-dd') ELSE coalesce(try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy'), try_to_date(translate(m, '/', '.'), 'MM.dd.yyyy')) END"
     form = "CASE WHEN m like '____-%' THEN date_format(n, 'yyyy-MM-dd') WHEN try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy') is null THEN date_format(n, concat('MM', substr(m, 3, 1), 'dd', substr(m, 6, 1), 'yyyy')) ELSE date_format(n, concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy')) END"
-    moved = lambda t: with_(feistel(key, "date", f"{t} div 5411", f"{t} % 5411", "27", "5411"), "f", lambda f: with_(f"date_add(date'1900-01-01', cast({f}.l * 5411 + {f}.r as int))", "n", lambda n: form))
-    return with_(f"datediff({day}, date'1900-01-01')", "t", lambda t: f"CASE WHEN {t} between 0 and 146096 THEN {moved(t)} END")
+    # first day, and the two factors of the number of days, of the cycle that holds day t; the calendar's ends have shorter ones
+    cycle = lambda t: f"CASE WHEN {t} < -584388 THEN struct(-693595L as s, 7L as m, 15601L as n) WHEN {t} >= 2921940 THEN struct(2921940L as s, 92L as m, 397L as n) ELSE struct(146097L * cast(floor({t} / 146097) as bigint) as s, 27L as m, 5411L as n) END"
+    moved = lambda t: with_(cycle(t), "y", lambda y: with_(feistel(key, "date", f"({t} - {y}.s) div {y}.n", f"({t} - {y}.s) % {y}.n", f"{y}.m", f"{y}.n"), "f", lambda f: with_(f"date_add(date'1900-01-01', cast({y}.s + {f}.l * {y}.n + {f}.r as int))", "n", lambda n: form)))
+    return with_(f"datediff({day}, date'1900-01-01')", "t", lambda t: f"CASE WHEN {t} is not null THEN {moved(t)} END")
 
 
 def _email(key: str) -> str:
