@@ -9,11 +9,10 @@ modulo 2 ** 64, so a hot host is just a larger partial sum. A class is valid
 as part of the template if its tokens occur once on nearly every page of the
 host; valid places nest by their paths. The skeleton this gives leaves slots:
 the innermost valid place that still holds nearly all text outside menus,
-adverts and the like is the slot of the article, and texts that a valid class
-puts into that slot are the template's own words.
+adverts and the like is the slot of the article. All text in it is kept, however many pages share it.
 
 Pass 2 extracts from every page what fills the slot. Neither pass shuffles
-pages; hosts' templates (a path and a few hashes) are joined, by broadcast
+pages; hosts' templates (a path) are joined, by broadcast
 where a count shows them to be few.
 
 Menus, footers, sidebars, notices, adverts, forms and comments are known by
@@ -171,8 +170,6 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     while at:
                         chars[at] = chars.get(at, 0) + len(text)
                         at = at.rpartition("/")[0]
-                    key = (_hash("text", text), None)
-                    counts[key] = counts.get(key, 0) + 1
                 for place, n in places.items():
                     counts[_hash("place", place), place] = n
                 counts[_hash("place", ""), ""] = 1
@@ -198,20 +195,15 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     )
 
 
-def templates(tokens: DataFrame, *, support: float = 0.95, held_text: float = 0.9, text_pages: int = 20) -> DataFrame:
-    """host, main (place of the article's slot) and words (hashes of texts that belong to the template)."""
+def templates(tokens: DataFrame, *, support: float = 0.95, held_text: float = 0.9) -> DataFrame:
+    """host and main (place of the article's slot). Texts in the slot are never told apart by how often they occur, as an article may repeat on all pages of a host."""
     tokens = materialize(tokens, "tokens")
     root = tokens.where("place = ''").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"))
     known = tokens.join(root, "host").where(F.col("pages") >= support * F.col("n"))
-    # the class of a token: all tokens of the host with its occurrence vector; valid: once on (nearly) every page
-    known = known.withColumn("valid", (F.col("total") == F.col("pages")))
-    classes = known.where("valid").groupBy("host", "signature").agg(F.count("*").alias("size"), F.max(F.when(F.col("place").isNotNull(), 1)).alias("has_place"))
-    known = known.where("valid").join(classes, ["host", "signature"])
+    known = known.where("total = pages")  # once on (nearly) every page
     main = known.where(F.col("place").isNotNull() & (F.col("chars") >= held_text * F.col("all_chars")))
     main = main.groupBy("host").agg(F.max_by("place", F.struct(F.length(F.regexp_replace("place", "[^/]", "")), "place")).alias("main"))
-    # a text is the template's own only in a class with places, on a host with enough pages to tell
-    words = known.where((F.col("place").isNull()) & (F.col("has_place") == 1) & (F.col("n") >= text_pages)).groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("words"))
-    return materialize(main.join(words, "host", "left"), "templates")
+    return materialize(main, "templates")
 
 
 def extract_text(pages: DataFrame, *, max_broadcast: int = 20_000, **options) -> DataFrame:
@@ -223,16 +215,16 @@ def extract_text(pages: DataFrame, *, max_broadcast: int = 20_000, **options) ->
     def extract(batches):
         for batch in batches:
             texts, n_blocks = [], []
-            for page, main, words in zip(*(batch[c].to_pylist() for c in ("html", "main", "words"))):
+            for page, main in zip(*(batch[c].to_pylist() for c in ("html", "main"))):
                 blocks, places = page_blocks(page or "")
                 if main and places.get(main):
                     own = [x for x in blocks if x[0] == main or x[0].startswith(main + "/")]
                 else:
                     own = blocks
-                own = [t for _, t in own if not words or int(np.uint64(_hash("text", t)).view(np.int64)) not in words]
+                own = [t for _, t in own]
                 texts.append("\n".join(own))
                 n_blocks.append(len(own))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_blocks, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    joined = todo.join(found, "host", "left").select("page_id", "url", "html", "main", "words")
+    joined = todo.join(found, "host", "left").select("page_id", "url", "html", "main")
     return joined.mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, n_blocks bigint")
