@@ -68,8 +68,8 @@ def abea(spark, sf):
 
 def _profile(r, path):
     level, stdv = model()
-    e = K.detect_events(r["samples"])["mean"][:20]
-    ranks = K.kmer_ranks(sequence_of(r["read_id"], 14), 5)
+    e = K.detect_events(r["samples"])["mean"]
+    ranks = K.kmer_ranks(sequence_of(r["read_id"], max(8, len(e) // 2 + 5)), 5)
     return K.profile_hmm(e, level[ranks], stdv[ranks], 0.0, 1.0, 1.0, max(1.2, len(e) / len(ranks)), flank=not path, path=path)
 
 
