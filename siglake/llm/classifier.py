@@ -9,8 +9,8 @@ casts each vote on bad and on good documents, and with that the probability
 that a document with given votes is bad. EM needs only the count of each vote
 pattern, at most 3 ** labellers of them, counted over all documents.
 
-The posteriors then label a sample of at most ``train_docs`` documents, chosen
-by a hash of the doc_id, on which a logistic scorer over hashed words and votes
+The posteriors then label a sample of at most ``train_docs`` documents, those
+with the smallest hashes, on which a logistic scorer over hashed words and votes
 is trained; every document is scored with its weights. ``lexicon_docs`` bounds
 the labelled rows that the lexicon comes from. These two samples are the only
 ones; votes, patterns, posteriors and scores cover all documents.
@@ -116,14 +116,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: in
     return w.astype(np.float32), float(b)
 
 
-def toxic_lexicon(documents: DataFrame, labels: DataFrame, lexicon_docs: int, size: int = 5000) -> list[str]:
-    """Words that at least 1 % of the labelled toxic texts hold (4 at least) and hardly another text, in at most lexicon_docs labelled rows."""
+def toxic_lexicon(documents: DataFrame, labels: DataFrame, lexicon_docs: int) -> list[str]:
+    """Words that at least 1 % of the labelled toxic texts hold (4 at least) and hardly another text, in at most lexicon_docs labelled rows; so there are at most a hundred times as many as such a text has."""
     held = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(lexicon_docs)
     texts = documents.select("doc_id", "text").join(F.broadcast(held), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     words = texts.select("toxic", F.explode(F.expr(f"array_distinct({words_sql(lower_sql('text'), ALNUM_GAP)})")).alias("word"))
     n_toxic = texts.where("toxic = 1").count()
     counted = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
-    found = counted.where(f"bad >= {max(4, n_toxic // 100)} and bad >= 0.95 * n").orderBy(F.desc("bad"), "word").limit(size)
+    found = counted.where(f"bad >= {max(4, n_toxic // 100)} and bad >= 0.95 * n")
     return [r.word for r in found.collect()]
 
 
@@ -166,21 +166,32 @@ def score(documents: DataFrame, labels: DataFrame, *, train_docs: int = 20_000,
         posterior[k] = 1 - (1 - each[0][k[parts[0]]]) * (1 - each[1][k[parts[1]]])
 
     total = sum(counted.values())
-    sample = todo.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.95 * train_docs / max(total, 1))))
-    h = pa.schema([("votes", pa.string()), ("ids", pa.list_(pa.int32()))])
+    order = F.xxhash64("doc_id", "text", F.lit(17))  # the text too, so that rows without an id are not all in or all out
+    chance = int((1 << 30) * min(1.0, 1.1 * train_docs / max(total, 1)))
+    sample = todo.withColumn("order", order).where(F.pmod("order", F.lit(1 << 30)) < chance)
 
     def featured(batches):
-        yield from _looked_at(batches, held.value, lambda i, s, v: {"votes": "".join(map(str, v)), "ids": features(s, v)}, h)
+        schema = pa.schema([("order", pa.int64()), ("votes", pa.string()), ("ids", pa.list_(pa.int32()))])
+        for batch in batches:
+            made = _looked_at([batch], held.value, lambda i, s, v: {"votes": "".join(map(str, v)), "ids": features(s, v)}, schema)
+            for part in made:
+                yield pa.RecordBatch.from_arrays([batch["order"], part["votes"], part["ids"]], schema=schema)
 
-    table = sample.mapInArrow(featured, "votes string, ids array<int>").limit(train_docs).toArrow().combine_chunks()
-    votes, ids = table["votes"].to_pylist(), table["ids"].combine_chunks() if table.num_rows else None
+    def fitted(batches):
+        rows, labels = [], []
+        for batch in batches:
+            flat, ends = batch["ids"].flatten().to_numpy(), np.append(0, np.cumsum(batch["ids"].value_lengths().to_numpy()))
+            rows += [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            labels += [posterior[tuple(map(int, v))] for v in batch["votes"].to_pylist()]
+        weights, bias = train(rows, np.array(labels))
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias]})
+
+    # the sample meets in one task, which its size bounds; the driver sees the weights alone
+    least = sample.mapInArrow(featured, "order bigint, votes string, ids array<int>").orderBy("order", "votes", "ids").limit(train_docs)
+    fit = least.mapInArrow(fitted, "weights binary, bias double").collect()
     weights, bias = np.zeros(DIMENSIONS, np.float32), 0.0
-    if ids is not None:
-        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]  # views of one buffer
-        order = sorted(range(len(rows)), key=lambda k: (crc32(rows[k].tobytes()), len(rows[k])))  # depends on the rows alone
-        weights, bias = train([rows[k] for k in order], np.array([posterior[tuple(map(int, votes[k]))] for k in order]))
-        del table, ids, flat, rows
+    for row in fit:
+        weights, bias = np.frombuffer(row.weights, np.float32), row.bias
     model = sc.broadcast((lexicon, posterior, weights, bias))
     carry = [c for c in carry if c not in ("posterior", "score", "kept")]
     fields = [documents.schema[c] for c in carry]
