@@ -100,3 +100,16 @@ def basename(path: Column) -> Column:
 
 def length_bin(length: Column, size: int) -> Column:
     return (F.floor(length / size) * size).cast("bigint")
+
+
+def level_sum(seq: Column, levels: Column, k: int) -> Column:
+    """Sum of the model's levels over all k-mers of a sequence of ACGT, and their number: one walk along the sequence, the rank rolling from k-mer to k-mer. levels: an array by rank, 4 ** k long."""
+    codes = F.transform(F.split(F.translate(seq, "ACGT", "0123"), ""), lambda c: c.cast("int"))
+    start = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("seen"), F.lit(0).cast("bigint").alias("sum"))
+
+    def step(a, code):
+        rank, seen = (a["rank"] * 4 + code) % 4**k, a["seen"] + 1
+        level = F.when(seen >= k, F.get(levels, rank)).otherwise(0)
+        return F.struct(rank.alias("rank"), seen.alias("seen"), (a["sum"] + level).cast("bigint").alias("sum"))
+
+    return F.aggregate(F.when(seq != "", codes).otherwise(F.array().cast("array<int>")), start, step, lambda a: F.struct(a["sum"].alias("level_sum"), F.greatest(a["seen"] - (k - 1), F.lit(0)).cast("bigint").alias("n")))

@@ -77,29 +77,46 @@ def match_states(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
 
 
 def move_summary(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
-    """Steps, stays and skips between consecutive event alignments. The first row of a read has no predecessor; it counts as a stay only by position 0."""
-    move = F.col("ref_pos") - F.lag("ref_pos", 1, 0).over(Window.partitionBy(key).orderBy(order))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    m = rows.select(key, F.when(first, F.lit(0)).otherwise(F.abs(move)).alias("move"), "duration")
-    return m.groupBy(key).agg(F.count("*").alias("num_events"), F.count_if(F.col("move") == 1).alias("num_steps"), F.count_if(F.col("move") > 1).alias("num_skips"), F.count_if(F.col("move") == 0).alias("num_stays"), F.sum("duration").alias("total_duration"))
+    """Steps, stays and skips between consecutive event alignments. The first row of a read has no predecessor and counts as none of them; a move back is a skip."""
+    move = F.col("ref_pos") - F.lag("ref_pos").over(Window.partitionBy(key).orderBy(order))
+    m = rows.select(key, move.alias("move"), "duration")
+    return m.groupBy(key).agg(
+        F.count("*").alias("num_events"),
+        F.count_if(F.col("move") == 1).alias("num_steps"),
+        F.count_if((F.col("move") > 1) | (F.col("move") < 0)).alias("num_skips"),
+        F.count_if(F.col("move") == 0).alias("num_stays"),
+        F.sum("duration").alias("total_duration"),
+    )
 
 
-def collapse(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
-    """Runs of consecutive rows at one position as one row: length-weighted mean, total length, first event and k-mer."""
+def _islands(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """island: the number of the run of consecutive rows at one position."""
     w = Window.partitionBy(key).orderBy(order)
     fresh = F.when(F.col("ref_pos") == F.lag("ref_pos").over(w), 0).otherwise(1)
-    r = rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+
+
+def collapse(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
+    """Runs of consecutive rows at one position as one row: length-weighted mean, total length, first event and k-mer."""
+    r = _islands(rows, key, order)
     total = F.sum("length")
     return r.groupBy(key, "island", "ref_pos").agg(
         F.min_by("event_index", order).alias("event_index"), F.min_by("model_kmer", order).alias("model_kmer"), total.alias("length"), F.when(total != 0, F.sum(F.col("level") * F.col("length")) / total).otherwise(float("nan")).alias("level")
     )
 
 
-def weighted_positions(rows: DataFrame, key: str) -> DataFrame:
-    """Per position the length-weighted level and deviation of rows whose k-mers agree."""
-    total = F.sum("length")
-    mean = lambda c: F.when(total != 0, F.sum(F.col(c) * F.col("length")) / total).otherwise(float("nan"))
-    return rows.where("ref_kmer = model_kmer").groupBy(key, "ref_pos", "ref_kmer").agg(mean("level").alias("event_level_mean"), mean("stdv").alias("event_stdv"), total.alias("event_length"))
+def weighted_positions(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
+    """Runs of consecutive rows at one position as one row: length-weighted level, deviation and duration of the rows whose k-mers agree, NaN where none does."""
+    length = F.when(F.col("ref_kmer") == F.col("model_kmer"), F.col("length")).otherwise(0)
+    total = F.sum(length)
+    mean = lambda c: F.when(total != 0, F.sum(F.col(c) * length) / total).otherwise(float("nan"))
+    return _islands(rows, key, order).groupBy(key, "island", "ref_pos").agg(
+        F.min_by("ref_kmer", order).alias("ref_kmer"),
+        mean("level").alias("event_level_mean"),
+        mean("stdv").alias("event_stdv"),
+        mean("duration").alias("event_duration"),
+        total.alias("event_length"),
+    )
 
 
 def base_to_event(pairs: DataFrame, key: str) -> DataFrame:

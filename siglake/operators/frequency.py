@@ -58,21 +58,21 @@ def site_frequency(calls: DataFrame, threshold: float = 2.5, split: bool = False
 def merge_frequencies(files: list[DataFrame]) -> DataFrame:
     """Full outer merge of frequency tables by chromosome and start.
 
-    The n-th row of a site in one file meets the n-th of the others. Sites of one file pass through; others are summed, with end and group size of the first file, and must agree in their sequence."""
+    The n-th row of a site in one file meets the n-th of the others. Sites of one file pass through; others are summed, with end and group size of the last file, and must agree in their sequence."""
     rows = None
     for k, f in enumerate(files):
         n = F.row_number().over(Window.partitionBy("chromosome", "start").orderBy("end", "group_sequence"))
         part = f.select("*", F.lit(k).alias("file"), n.alias("nth"))
         rows = part if rows is None else rows.unionByName(part)
     called, methylated = F.sum("called_sites"), F.sum("called_sites_methylated")
-    alike = F.count_distinct("group_sequence") <= 1
+    alike = F.min("group_sequence").eqNullSafe(F.max("group_sequence"))
     return rows.groupBy("chromosome", "start", "nth").agg(
-        F.min_by("end", "file").alias("end"),
-        F.min_by("num_motifs_in_group", "file").alias("num_motifs_in_group"),
+        F.max_by("end", "file").alias("end"),
+        F.max_by("num_motifs_in_group", "file").alias("num_motifs_in_group"),
         called.alias("called_sites"),
         methylated.alias("called_sites_methylated"),
         F.when(F.count("*") == 1, F.min("methylated_frequency")).otherwise(methylated / called).alias("methylated_frequency"),
-        F.when(alike, F.min_by("group_sequence", "file")).otherwise(F.raise_error(F.lit("group sequences of a merged site differ"))).alias("group_sequence"),
+        F.when(alike, F.min("group_sequence")).otherwise(F.raise_error(F.lit("group sequences of a merged site differ"))).alias("group_sequence"),
     ).drop("nth")
 
 
@@ -92,9 +92,10 @@ def histogram_2d(compared: DataFrame, bins: int = 25) -> DataFrame:
 
 
 def accumulate_bedmethyl(rows: DataFrame) -> DataFrame:
-    """bedMethyl rows (chromosome, start, end, strand, coverage, percent): both strands of a site as one."""
-    back = F.when(F.col("strand") == "-", 1).otherwise(0)
-    site = rows.select("chromosome", (F.col("start") - back).alias("start"), (F.col("end") - back).alias("end"), "coverage", F.floor(F.col("percent") * F.col("coverage") / 100).cast("bigint").alias("methylated"))
+    """bedMethyl rows (chromosome, start, strand, coverage, percent): both strands of a site as one, which ends where it starts."""
+    at = F.col("start") - F.when(F.col("strand") == "-", 1).otherwise(0)
+    methylated = ((F.col("percent") / 100) * F.col("coverage")).cast("bigint")
+    site = rows.select("chromosome", at.alias("start"), at.alias("end"), "coverage", methylated.alias("methylated"))
     return site.groupBy(*SITE).agg(F.sum("coverage").alias("depth"), F.sum("methylated").alias("methylated"))
 
 
@@ -103,5 +104,15 @@ def ordered(freq: DataFrame) -> DataFrame:
 
 
 def formatted(value: Column, digits: int) -> Column:
-    """C's %.nf, which rounds the exact binary value: through an exact decimal, half to even of what is beyond double's digits never ties."""
-    return F.format_string(f"%.{digits}f", value.cast("decimal(38,30)"))
+    """C's %.nf for absolute values under 10 ** 6 and up to 3 digits: the exact binary value, half to even.
+
+    In units of 2 ** -30 the whole part times 10 ** n is an exact bigint. What is left is under 10 ** n of these units and decides only ties, which it does exactly: a double's distance from a tie is far above the error of one product."""
+    scale, unit = 10**digits, 1 << 30
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size * unit).cast("bigint")
+    rest = size * unit - whole
+    n = F.shiftright(whole * scale, 30)
+    over = (whole * scale).bitwiseAND(unit - 1) - unit // 2 + rest * scale
+    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(value < 0, "-").otherwise(""), ((n - n % scale) / scale).cast("bigint").cast("string"), F.lit("." if digits else ""), F.lpad((n % scale).cast("string"), digits, "0") if digits else F.lit(""))
+    return F.when(F.isnan(value), "nan").otherwise(text)

@@ -59,12 +59,12 @@ _merged = " UNION ALL ".join(f"SELECT *, {k} AS file, row_number() OVER (PARTITI
 
 
 @query(
-    f"""SELECT chromosome, start, arg_min("end", file) AS "end", arg_min(num_motifs_in_group, file) AS num_motifs_in_group, CAST(sum(called_sites) AS BIGINT) AS called_sites, CAST(sum(called_sites_methylated) AS BIGINT) AS called_sites_methylated,
+    f"""SELECT chromosome, start, arg_max("end", file) AS "end", arg_max(num_motifs_in_group, file) AS num_motifs_in_group, CAST(sum(called_sites) AS BIGINT) AS called_sites, CAST(sum(called_sites_methylated) AS BIGINT) AS called_sites_methylated,
  CASE WHEN count(*) = 1 THEN min(methylated_frequency) ELSE CAST(sum(called_sites_methylated) AS DOUBLE) / CAST(sum(called_sites) AS DOUBLE) END AS methylated_frequency, arg_min(seq_, file) AS group_sequence
- FROM (SELECT *, 'x' AS seq_ FROM ({_merged})) GROUP BY chromosome, start, nth"""
+ FROM (SELECT *, concat(chromosome, ':', start) AS seq_ FROM ({_merged})) GROUP BY chromosome, start, nth"""
 )
 def freq_merge(spark, sf):
-    files = [f.withColumn("group_sequence", F.lit("x")) for f in _files(spark, sf)]  # sites of the view differ in their sequences
+    files = [f.withColumn("group_sequence", F.concat_ws(":", "chromosome", "start")) for f in _files(spark, sf)]  # sites of the view differ in their sequences
     return Q.ordered(Q.merge_frequencies(files))
 
 
@@ -95,11 +95,11 @@ def freq_hist2d(spark, sf):
 
 
 @query(
-    f"""SELECT chromosome, start - back AS start, "end" - back AS "end", CAST(sum(coverage) AS BIGINT) AS depth, CAST(sum(CAST(floor(percent * coverage / 100) AS BIGINT)) AS BIGINT) AS methylated
- FROM (SELECT chromosome, start, start + 1 AS "end", CASE WHEN strand = '-' THEN 1 ELSE 0 END AS back, num_motifs * 7 AS coverage, CAST(row_no % 101 AS DOUBLE) AS percent FROM {CALLS}) GROUP BY ALL"""
+    f"""SELECT chromosome, start - back AS start, start - back AS "end", CAST(sum(coverage) AS BIGINT) AS depth, CAST(sum(CAST(trunc((percent / 100) * coverage) AS BIGINT)) AS BIGINT) AS methylated
+ FROM (SELECT chromosome, start, CASE WHEN strand = '-' THEN 1 ELSE 0 END AS back, num_motifs * 7 AS coverage, CAST(row_no % 101 AS DOUBLE) AS percent FROM {CALLS}) GROUP BY ALL"""
 )
 def bedmethyl_accumulate(spark, sf):
-    rows = view(spark, sf, "methcalls").selectExpr("chromosome", "start", "start + 1 as end", "strand", "num_motifs * 7 as coverage", "cast(row_no % 101 as double) as percent")
+    rows = view(spark, sf, "methcalls").selectExpr("chromosome", "start", "strand", "num_motifs * 7 as coverage", "cast(row_no % 101 as double) as percent")
     return Q.accumulate_bedmethyl(rows)
 
 
@@ -207,9 +207,9 @@ def kmer_rank5(spark, sf):
 
 @query(f"SELECT read_id, CAST(sum(80 + r % 37) AS BIGINT) AS level_sum, count(*) AS n FROM (SELECT read_id, list_sum(list_transform(range(6), lambda i: (instr('ACGT', substr(kmer, i + 1, 1)) - 1) * CAST(pow(4, 5 - i) AS BIGINT)))::BIGINT AS r FROM (SELECT read_id, substr(seq, unnest(range(1, length(seq) - 4)), 6) AS kmer FROM {READS})) GROUP BY read_id")
 def kmer_model_join(spark, sf):
-    model = spark.range(4**6).select(F.col("id").alias("kmer_rank"), (80 + F.col("id") % 37).alias("level_mean"))  # 4 ** k rows by its nature
-    k = view(spark, sf, "reads").select("read_id", F.explode(S.kmers(F.col("seq"), 6)).alias("kmer")).groupBy("read_id", "kmer").count().select("read_id", S.kmer_rank(F.col("kmer")).alias("kmer_rank"), "count")
-    return k.join(F.broadcast(model), "kmer_rank").groupBy("read_id").agg(F.sum(F.col("level_mean") * F.col("count")).alias("level_sum"), F.sum("count").alias("n"))
+    levels = F.expr("transform(sequence(0, 4095), r -> 80 + r % 37)")  # the model: 4 ** k levels by its nature
+    found = view(spark, sf, "reads").where("length(seq) >= 6").select("read_id", S.level_sum(F.col("seq"), levels, 6).alias("f"))
+    return found.select("read_id", "f.level_sum", "f.n")
 
 
 _sites = f"(SELECT read_id, unnest(list_filter(range(length(seq) - 1), lambda i: substr(seq, i + 1, 2) = 'CG')) AS pos FROM {READS})"
@@ -286,7 +286,7 @@ def state_me(spark, sf):
     return E.match_states(view(spark, sf, "aligned"), "read_id").select("read_id", "i", "state")
 
 
-@query(f"SELECT read_id, count(*) AS num_events, count_if(m = 1) AS num_steps, count_if(m > 1) AS num_skips, count_if(m = 0) AS num_stays, CAST(sum(duration) AS BIGINT) AS total_duration FROM (SELECT *, coalesce(abs(ref_pos - lag(ref_pos) OVER (PARTITION BY read_id ORDER BY i)), 0) AS m FROM {PAIRS}) GROUP BY read_id")
+@query(f"SELECT read_id, count(*) AS num_events, count_if(coalesce(m = 1, false)) AS num_steps, count_if(coalesce(m > 1 OR m < 0, false)) AS num_skips, count_if(coalesce(m = 0, false)) AS num_stays, CAST(sum(duration) AS BIGINT) AS total_duration FROM (SELECT *, ref_pos - lag(ref_pos) OVER (PARTITION BY read_id ORDER BY i) AS m FROM {PAIRS}) GROUP BY read_id")
 def step_stay_skip(spark, sf):
     return E.move_summary(view(spark, sf, "aligned"), "read_id")
 
@@ -299,9 +299,19 @@ def collapse_events(spark, sf):
     return E.collapse(view(spark, sf, "aligned"), "read_id").drop("island").withColumn("level", F.round("level", 6))
 
 
-@query(f"SELECT read_id, ref_pos, ref_kmer, CASE WHEN sum(length) <> 0 THEN round(CAST(sum(level * length) AS DOUBLE) / CAST(sum(length) AS DOUBLE), 6) ELSE 'nan'::DOUBLE END AS event_level_mean, CASE WHEN sum(length) <> 0 THEN round(CAST(sum(stdv * length) AS DOUBLE) / CAST(sum(length) AS DOUBLE), 6) ELSE 'nan'::DOUBLE END AS event_stdv, CAST(sum(length) AS BIGINT) AS event_length FROM {PAIRS} WHERE ref_kmer = model_kmer GROUP BY read_id, ref_pos, ref_kmer")
+def _mean_sql(column: str) -> str:
+    return f"CASE WHEN sum(n) > 0 THEN round(CAST(sum({column} * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) ELSE 'nan'::DOUBLE END"
+
+
+@query(
+    f"""SELECT read_id, ref_pos, arg_min(ref_kmer, i) AS ref_kmer, {_mean_sql("level")} AS event_level_mean, {_mean_sql("stdv")} AS event_stdv,
+ {_mean_sql("duration")} AS event_duration, CAST(sum(n) AS BIGINT) AS event_length
+ FROM (SELECT *, CASE WHEN ref_kmer = model_kmer THEN length ELSE 0 END AS n, sum(f) OVER (PARTITION BY read_id ORDER BY i) AS g
+ FROM (SELECT *, CASE WHEN ref_pos = lag(ref_pos) OVER (PARTITION BY read_id ORDER BY i) THEN 0 ELSE 1 END AS f FROM {PAIRS})) GROUP BY read_id, g, ref_pos"""
+)
 def m6anet_collapse(spark, sf):
-    return E.weighted_positions(view(spark, sf, "aligned"), "read_id").withColumns({c: F.round(c, 6) for c in ("event_level_mean", "event_stdv")})
+    out = E.weighted_positions(view(spark, sf, "aligned"), "read_id").drop("island")
+    return out.withColumns({c: F.round(c, 6) for c in ("event_level_mean", "event_stdv", "event_duration")})
 
 
 @query(f"SELECT read_id, ref_pos AS kmer, min(kmer_rank) AS start, max(kmer_rank) AS stop FROM (SELECT *, coalesce(kmer_rank <> lag(kmer_rank) OVER (PARTITION BY read_id ORDER BY i), true) AS fresh FROM {PAIRS}) WHERE fresh GROUP BY read_id, ref_pos")
