@@ -1,4 +1,4 @@
-"""Query op9_pii. The look-around of its patterns has no SQL form in DuckDB; tests hold it against a brute-force version."""
+"""Query op9_pii. The look-around of its patterns has no SQL form in DuckDB; tests check formats, check digits, permutations and links."""
 
 from siglake.llm.common import read
 from siglake.llm.pii import KINDS, pseudonymize
