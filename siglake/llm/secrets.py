@@ -5,24 +5,31 @@ them the text is searched for weak candidates, which mean little alone: names
 of accounts (``ident``), short or oddly named secrets (``weak``) and
 ``endpoint``s. Every find has a role: identifier, secret or endpoint. A weak
 candidate is reported only where a find of another role lies in its scope, the
-``reach`` code points on either side. That interval join is two sweeps over the
-finds of a text in order of their starts (what came last of each role, then
-what comes next), so its cost is linear in the finds and no pairs are made.
+``reach`` code points on either side.
 
-Everything happens within a row; nothing is shuffled. Places come from the
-pieces that a split at the pattern leaves between matches, as Spark has no
-function for the places of all matches.
+One pass over the texts writes the lengths of the finds and of the pieces
+between them, as Spark has no function for the places of all matches; from
+there on only these small rows are shuffled. Running sums give the places, and
+an interval join links the parts: finds are dealt into bins of one reach, a
+weak candidate looks into the bins its scope touches, and the pairs of one bin
+are held against the scope. Finds of one kind don't overlap and have a least
+length, so a scope holds a bounded number of them and the pairs grow with the
+finds.
 
 Edge cases. Null or empty text: no finds, the digest of an empty string.
-Repeated documents: a row each. Empty table: no rows. A weak candidate that
-overlaps a base find is not reported. Extra columns are ignored.
+Repeated documents: a row each, also where doc_id is null. Ties (two kinds at
+one start): in the order of the kinds. Very long texts: cost grows with the
+length and the finds. Empty table: no rows. A weak candidate that overlaps a
+base find is not reported. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siglake.llm.common import materialize
+
 BASE_KINDS = ("assign", "access", "hex")
 ROLES = {"assign": "secret", "access": "ident", "hex": "secret", "ident": "ident", "weak": "secret", "endpoint": "endpoint"}
 KINDS = tuple(ROLES)
@@ -55,54 +62,62 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find_spans(text: str, kind: str) -> str:
-    """SQL: array of (s, k, e), where s and e are code points and k is the kind's place in KINDS; null if there is none."""
-    pattern, least = PATTERNS[kind]
-    p, k = _quoted(FAST.get(kind, pattern)), KINDS.index(kind)
-    parts = f"arrays_zip(transform(split({text}, {p}, -1), g -> length(g)) as g, transform(regexp_extract_all({text}, {p}, 0), m -> length(m)) as m, transform(regexp_extract_all({text}, {p}, 1), v -> length(v)) as v)"
-    parts = parts.replace(" as g", "").replace(" as m", "").replace(" as v", "")
-    folded = (
-        f"aggregate(filter({parts}, x -> x['1'] is not null), struct(0 as at, cast(array() as array<struct<s:int,k:int,e:int>>) as found),"
-        f" (a, x) -> struct(a.at + x['0'] + x['1'] as at, CASE WHEN x['2'] >= {least} THEN concat(a.found, array(struct(a.at + x['0'] as s, {k} as k, a.at + x['0'] + x['1'] as e))) ELSE a.found END as found), a -> a.found)"
-    )
-    return f"CASE WHEN {text} rlike {p} THEN {folded} END"
-
-
-def _sweep(spans: str, ahead: bool) -> str:
-    """SQL: for each span of spans (sorted, reversed if ahead) whether another role or a base find lies within reach on that side."""
-    state = ", ".join(f"-1 as {r}" for r in ("ident", "secret", "endpoint"))
-    roles = [ROLES[k] for k in KINDS]
-    role = "get(array(" + ", ".join(f"'{r}'" for r in roles) + "), x.k)"
-    if ahead:  # the nearest start that follows; text positions are turned so that larger is nearer
-        near = lambda r: f"a.{r} >= 0 and a.{r} - x.e <= {REACH}"
-        update = lambda r: f"CASE WHEN {role} = '{r}' THEN x.s ELSE a.{r} END as {r}"
-        base, cover = "CASE WHEN x.k < 3 THEN x.s ELSE a.base END as base", "a.base >= 0 and a.base < x.e"
-    else:
-        near = lambda r: f"a.{r} >= 0 and x.s - a.{r} <= {REACH}"
-        update = lambda r: f"CASE WHEN {role} = '{r}' THEN greatest(a.{r}, x.e) ELSE a.{r} END as {r}"
-        base, cover = "CASE WHEN x.k < 3 THEN greatest(a.base, x.e) ELSE a.base END as base", "a.base > x.s"
-    linked = " or ".join(f"({role} <> '{r}' and {near(r)})" for r in ("ident", "secret", "endpoint"))
-    updates = ", ".join(update(r) for r in ("ident", "secret", "endpoint"))
-    return (
-        f"aggregate({spans}, struct({state}, -1 as base, cast(array() as array<struct<linked:boolean,covered:boolean>>) as seen),"
-        f" (a, x) -> struct({updates}, {base}, concat(a.seen, array(struct(({linked}) as linked, ({cover}) as covered))) as seen), a -> a.seen)"
-    )
+def find_lengths(text: str, kind: str) -> str:
+    """SQL: array of (k, i, gap, size, value), one for each match of the kind in order: lengths of the text before it, of the match and of its value; null if there is none."""
+    pattern, _ = PATTERNS[kind]
+    p = _quoted(FAST.get(kind, pattern))
+    sizes = f"transform(regexp_extract_all({text}, {p}, 0), m -> length(m))"
+    values = sizes if pattern.startswith("(") and not pattern.startswith("(?") else f"transform(regexp_extract_all({text}, {p}, 1), v -> length(v))"
+    zipped = f"filter(arrays_zip(transform(split({text}, {p}, -1), g -> length(g)), {sizes}, {values}), x -> x['1'] is not null)"
+    row = f"named_struct('k', {KINDS.index(kind)}, 'i', i, 'gap', x['0'], 'size', x['1'], 'value', x['2'])"
+    return f"CASE WHEN {text} rlike {p} THEN transform({zipped}, (x, i) -> {row}) END"
+
+
+def _of(names: list, index: Column | str) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), index)
+
+
+def place_finds(lengths: DataFrame) -> DataFrame:
+    """(row, k, s, e) of every match whose value is long enough; s and e are code points."""
+    before = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = lengths.where("k >= 0").withColumn("e", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    return placed.where(F.col("value") >= _of([PATTERNS[k][1] for k in KINDS], F.col("k"))).select("row", "k", (F.col("e") - F.col("size")).alias("s"), "e")
+
+
+def link_parts(finds: DataFrame, reach: int = REACH) -> DataFrame:
+    """The weak candidates among finds with a find of another role within reach and no base find over them."""
+    role = _of(list(ROLES.values()), F.col("k"))
+    bins = lambda lo, hi: F.explode(F.expr(f"sequence(cast(greatest(0, {lo}) div {reach} as int), cast(({hi}) div {reach} as int))")).alias("bin")
+    weak = finds.where(F.col("k") >= len(BASE_KINDS)).select("row", "k", "s", "e", role.alias("role"), bins(f"s - {reach}", f"e + {reach}"))
+    near = finds.select("row", F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), role.alias("role2"), bins("s", "e"))
+    pairs = weak.join(near, ["row", "bin"]).where(f"s2 - e <= {reach} and s - e2 <= {reach}")
+    linked = F.bool_or(F.col("role") != F.col("role2"))
+    covered = F.bool_or((F.col("k2") < len(BASE_KINDS)) & (F.col("s2") < F.col("e")) & (F.col("s") < F.col("e2")))
+    return pairs.groupBy("row", "k", "s", "e").agg(linked.alias("linked"), covered.alias("covered")).where("linked and not covered").select("row", "k", "s", "e")
 
 
-def scan_secrets(documents: DataFrame) -> DataFrame:
+def scan_secrets(documents: DataFrame, *, reach: int = REACH) -> DataFrame:
     """Counts and digest of the base finds, and all finds as text and as an array of spans."""
-    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("doc_id", *[F.expr(f"coalesce({find_spans('text', k)}, array())").cast("array<struct<s:int,k:int,e:int>>").alias(k) for k in KINDS])
-    d = d.select("doc_id", *BASE_KINDS, F.array_sort(F.concat(*KINDS)).alias("spans"))
-    d = d.select("*", F.expr(_sweep("spans", False)).alias("behind"), F.expr(f"reverse({_sweep('reverse(spans)', True)})").alias("ahead"))
-    keep = "filter(spans, (x, i) -> x.k < 3 or ((get(behind, i).linked or get(ahead, i).linked) and not get(behind, i).covered and not get(ahead, i).covered))"
-    d = d.select("*", F.expr(keep).alias("kept"))
+    d = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    document = "array(named_struct('k', -1, 'i', 0, 'gap', 0, 'size', 0, 'value', 0))"  # stands for the document, so that none is lost
+    found = ", ".join(f"coalesce({find_lengths('text', k)}, array())" for k in KINDS)
+    lengths = materialize(d.select("doc_id", "row", F.inline(F.expr(f"concat({document}, {found})"))), "secrets")
+    finds = place_finds(lengths)
+    none = F.lit(None).cast("int")
+    kept = (
+        lengths.where("k < 0").select("row", "doc_id", none.alias("k"), none.alias("s"), none.alias("e"))
+        .unionByName(finds.where(F.col("k") < len(BASE_KINDS)), allowMissingColumns=True)
+        .unionByName(link_parts(finds, reach), allowMissingColumns=True)
+    )
+    spans = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("s", "k", "e")))).alias("kept")
+    counts = [F.count_if(F.col("k") == i).alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+    per = kept.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *counts, spans)
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     joined = lambda a: f"array_join(transform({a}, x -> concat(get({names}, x.k), ':', x.s, ':', x.e)), ',')"
-    return d.select(
+    return per.select(
         "doc_id",
-        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
-        F.sha2(F.expr(joined("filter(spans, x -> x.k < 3)")), 256).alias("base_sha256"),
+        *[f"n_{k}" for k in BASE_KINDS],
+        F.sha2(F.expr(joined(f"filter(kept, x -> x.k < {len(BASE_KINDS)})")), 256).alias("base_sha256"),
         F.expr(joined("kept")).alias("spans"),
         F.expr(f"transform(kept, x -> struct(get({names}, x.k) as kind, x.s as start, x.e as end))").alias("finds"),
     )
