@@ -1,28 +1,30 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each task cuts its documents into shards of at most ``shard_words`` words and
-sorts the positions of every shard into a suffix array. Every suffix of every
-benchmark item is then binary-searched in every shard; the range it falls into
-holds all places where its first ``window`` words stand verbatim. Neighbouring
-places on one diagonal (document position minus item position) join into the
-longest verbatim matches. The benchmark is the stated query set: it goes to the
-executors in blocks of at most ``block_words`` words, so memory is bounded by a
-block and a shard, and nothing is shuffled.
-
-A position whose word is in no item, or that no run of known words long enough
-follows, can't begin a match; such positions are left out of the array.
+Each task cuts its documents into shards of about ``shard_words`` words and
+sorts all suffixes of a shard into a suffix array, by prefix doubling to the
+length of the longest benchmark item, beyond which no match can go. Every suffix
+of every benchmark item is then binary-searched in every shard: its neighbours
+in the array tell the longest match, and where that reaches ``window`` words, two
+more binary searches give the range of all places that share as much. The match
+at each place runs to the first word that differs; a match that also agrees in
+the word before it is part of a longer one and is left to that. The benchmark is
+the stated query set: it goes to the executors in blocks of at most
+``block_words`` words, so memory is bounded by a block and a shard, and nothing
+is shuffled.
+
+Runs of words that are in no item, and runs of item words too short for a
+window, can't be part of a match; each such stretch is one gap in the array.
 
 Edge cases. Null or empty text: no words, a row with zeros. Null item text or
 an item without words: no window. Item shorter than ``window``: one window of
 all its words. Repeated documents: a row each. Repeated items: counted once by
-item_id; a null item_id marks words as hit but is not listed. Empty tables: no
-rows, or no hits. Extra columns are ignored unless carry names
-them.
+item_id; a null item_id marks words as hit but is not listed. A text longer than
+a shard: a shard of its own. Empty tables: no rows, or no hits. Extra columns are
+ignored unless carry names them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from itertools import repeat
 
@@ -44,56 +46,91 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(TABLE).split() if text else []
 
 
+def prefix_ranks(ids: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... words, until depth words are compared."""
+    levels, size = [ids], 1
+    while size < depth:
+        after = np.zeros(len(ids), np.int64)
+        after[:-size] = levels[-1][size:]
+        pairs = levels[-1] * (int(levels[-1].max()) + 1) + after
+        levels.append(np.unique(pairs, return_inverse=True)[1].astype(np.int64))
+        size *= 2
+    return levels
+
+
+def common_words(levels: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at p and q share."""
+    n, last = np.zeros(len(p), np.int64), len(levels[0]) - 1
+    for k in reversed(range(len(levels))):
+        n += (levels[k][np.minimum(p + n, last)] == levels[k][np.minimum(q + n, last)]).astype(np.int64) << k
+    return n
+
+
 class Block:
-    """The windows of some items: word numbers, and for each window its items and their starts."""
+    """Some items as word numbers, each item closed by a number that no document has; 0 is any other word."""
+
+    PAIRS = 1 << 20
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocab: dict[bytes, int] = {}
-        windows: dict[bytes, list[tuple[str | None, int]]] = {}
-        for item, words in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=">u4").tobytes()
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1):
-                windows.setdefault(ids[4 * i : 4 * (i + n)], []).append((item, i))
-        self.windows = sorted(windows.items())
-        self.window, self.least = window, min((len(k) // 4 for k, _ in self.windows), default=window)
+        texts = {(item, tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words)) for item, words in items}
+        texts = sorted(texts, key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        self.items = [item for item, _ in texts]
+        sizes = np.array([len(t) for _, t in texts], np.int64)
+        self.ids = np.array([i for _, t in texts for i in (*t, len(self.vocab) + 1)], np.int64)
+        self.item_of = np.repeat(np.arange(len(texts)), sizes + 1)
+        self.start_of = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+        at, size = np.arange(len(self.ids)) - self.start_of, np.repeat(sizes, sizes + 1)
+        self.need = np.minimum(size, window)  # words a match must have
+        self.suffixes = np.flatnonzero(at + self.need <= size)
+        self.longest, self.least = int(sizes.max(initial=0)), int(sizes.clip(max=window).min(initial=window))
 
     def search(self, docs: list[np.ndarray]) -> list[list[tuple]]:
         """For each document of a shard its longest matches (start, length, item, start in the item)."""
         out: list[list[tuple]] = [[] for _ in docs]
-        if not docs or not self.windows:
+        if not docs or not len(self.ids):
             return out
-        starts = np.cumsum([0] + [len(x) + 1 for x in docs])
-        ids = np.zeros(starts[-1], dtype=">u4")
+        starts = np.cumsum([1] + [len(x) + 1 for x in docs])
+        ids = np.zeros(starts[-1], np.int64)
         for at, x in zip(starts, docs):
             ids[at : at + len(x)] = x
         gaps = np.flatnonzero(ids == 0)
-        runs = np.repeat(gaps, np.diff(gaps, prepend=-1)) - np.arange(len(ids))  # known words from here on
-        begin = np.flatnonzero(runs >= self.least)
-        if not len(begin):
+        runs = np.diff(gaps, append=len(ids)) - 1
+        ids[np.repeat(runs < self.least, runs + 1)] = 0
+        place = np.flatnonzero((ids != 0) | np.append(True, ids[:-1] != 0))  # one gap for each stretch without a match
+        if len(place) < 2:
             return out
-        raw = ids.tobytes()
-        suffixes = [raw[4 * p : 4 * (p + self.window)] for p in begin.tolist()]
-        order = sorted(range(len(begin)), key=suffixes.__getitem__)
-        suffixes = [suffixes[k] for k in order]
-        found: dict[tuple, list[tuple[int, int]]] = {}
-        for key, items in self.windows:
-            lo = bisect_left(suffixes, key)
-            if lo == len(suffixes) or not suffixes[lo].startswith(key):
-                continue
-            hi = bisect_right(suffixes, key + b"\xff" * 4 * (self.window - len(key) // 4 + 1), lo=lo)
-            for p in begin[order[lo:hi]].tolist():
-                for item, i in items:
-                    found.setdefault((item, p - i), []).append((p, len(key) // 4))
-        for (item, diagonal), places in found.items():
-            places.sort()
-            first, end = places[0][0], places[0][0] + places[0][1]
-            for p, n in [*places[1:], (1 << 60, 0)]:
-                if p > end - n + 1 or not n:  # not the next window of the same match
-                    d = int(np.searchsorted(starts, first, side="right")) - 1
-                    out[d].append((first - int(starts[d]), end - first, item, first - diagonal))
-                    first = p
-                end = p + n
+        both = np.concatenate([ids[place], self.ids[-1:], self.ids])
+        levels, shift = prefix_ranks(both, self.longest + 1), len(place) + 1
+        known = np.flatnonzero(both[: len(place)])
+        array = known[np.argsort(levels[-1][known], kind="stable")]
+        suffixes = self.suffixes + shift
+        at = np.searchsorted(levels[-1][array], levels[-1][suffixes])
+        longest = np.maximum(common_words(levels, suffixes, array[np.maximum(at - 1, 0)]), common_words(levels, suffixes, array[np.minimum(at, len(array) - 1)]))
+        long = longest >= self.need[self.suffixes]
+        suffixes, at, need = suffixes[long], at[long], self.need[self.suffixes[long]]
+
+        def bound(lo, hi, inside_is_left):
+            while (open_ := lo < hi).any():
+                middle = (lo + hi) // 2
+                inside = common_words(levels, suffixes, array[np.minimum(middle, len(array) - 1)]) >= need
+                right = inside if inside_is_left else ~inside
+                lo, hi = np.where(open_ & right, middle + 1, lo), np.where(open_ & ~right, middle, hi)
+            return lo
+
+        first, end = bound(np.zeros_like(at), at, False), bound(at, np.full_like(at, len(array)), True)
+        n = end - first
+        part = np.cumsum(n) // self.PAIRS
+        for k in np.unique(part):
+            mine = part == k
+            q = np.repeat(suffixes[mine], n[mine])
+            p = array[np.repeat(first[mine] - np.cumsum(n[mine]) + n[mine], n[mine]) + np.arange(n[mine].sum())]
+            whole = both[p - 1] != both[q - 1]
+            p, q = p[whole], q[whole]
+            size, begin, i = common_words(levels, p, q), place[p], q - shift
+            d = np.searchsorted(starts, begin, side="right") - 1
+            for row in zip(d.tolist(), (begin - starts[d]).tolist(), size.tolist(), self.item_of[i].tolist(), (i - self.start_of[i]).tolist()):
+                out[row[0]].append((row[1], row[2], self.items[row[3]], row[4]))
         return out
 
 
