@@ -1,24 +1,33 @@
 """License scans by a positional index of rare words.
 
-The index holds, for every template, its words that stand in at most
-``RARE_DF`` templates, with their positions. A file's words are looked up in
-it; each hit votes for a template and a diagonal (position in the file minus
-position in the template). A diagonal with enough votes is a place where the
-template may stand, and it counts only if every word of the template's
-mandatory phrases stands at its place there. The score is the largest share of
-a template's words that agree.
+The index holds, for every template, the words of its mandatory phrases with
+their positions and their IDF over the templates. A template can stand only in a
+file that has all of these words, so its ``anchors``, the two of highest IDF, are
+the rarest words by which that file can be searched for it. They are looked up
+in the file; each place of an anchor gives a diagonal (position in the file
+minus position in the template), and the diagonals of both anchors are
+intersected. A diagonal that is left counts if every word of the template's
+mandatory phrases stands at its place there. A place with all mandatory phrases
+lies on the diagonals of both anchors, so none is lost. The score is the largest
+share of a template's words that agree.
 
-All of it happens within a row, on arrays and in sorted order, so a scan
-neither shuffles nor joins; the index is a constant of this module.
+All of it happens within a row, so a scan neither shuffles nor joins; the index
+is a constant of this module. Lookups are hash sets over a text's words, and only
+the words of templates that can stand in the file are searched for.
 
 Edge cases. Null or empty text: no words, zero, empty labels, score 0. Overlap
-of two places of a phrase: both count. Repeated documents: a row each. Empty
-table: no rows. Extra columns are ignored.
+of two places of a phrase: both count. Repeated documents: a row each. Ties
+(templates that agree at one place): every label is given. Very long texts: cost
+grows with the words and the places found. Empty table: no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +37,39 @@ from siglake.llm.common import ALNUM_GAP, lower_sql, words_sql
 #: The phrases that are always looked for, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Public licence texts and notices, as they are usually given.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions
+of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name
+of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written
+permission."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked
+as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+third-parties to whom the Software is furnished to do so, all subject to the following:"""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GNU = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software Foundation;
+either version {n} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+one at https://mozilla.org/MPL/2.0/."""
+
 #: label, notice, mandatory phrases.
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
@@ -45,22 +87,43 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose"]),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    ("mit", MIT, ["permission is hereby granted free of charge", "the software is provided as is"]),
+    ("isc", ISC, ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "the software is provided as is"]),
+    ("bsd", BSD, ["redistribution and use in source and binary forms", "neither the name of"]),
+    ("zlib", ZLIB, ["the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such"]),
+    ("bsl-1.0", BOOST, ["obtaining a copy of the software and accompanying documentation covered by this license"]),
+    ("unlicense", UNLICENSE, ["unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"]),
+    ("apache-2.0", APACHE, ["licensed under the apache license version 2 0 the license", "you may not use this file except in compliance with the license"]),
+    *((f"{name}-{n}.0", GNU.format(kind=kind, n=n), [f"gnu {kind} license as published by the free software foundation either version {n} of the license"])
+      for name, kind, versions in (("gpl", "general public", (2, 3)), ("lgpl", "lesser general public", (3,)), ("agpl", "affero general public", (3,))) for n in versions),
+    ("mpl-2.0", MPL, ["this source code form is subject to the terms of the mozilla public license v 2 0"]),
     ("proprietary", "proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited", ["unauthorized copying of this file"]),
 ]
-RARE_DF = 4
-VOTES = 2
+ANCHORS = 2
+
 
+@dataclass
+class Template:
+    label: str
+    words: list[str]
+    must: list[int]  #: positions of the words of the mandatory phrases
+    anchors: list[tuple[str, int]]  #: the mandatory words of highest IDF, each with a position
 
-def index() -> tuple[list[list[str]], list[tuple[str, int, int]], list[int], list[list[int]]]:
-    """Words of each template; postings (word, template, position); votes a template needs; positions that must agree."""
-    words = [t.split() for _, t, _ in TEMPLATES]
-    df = Counter(w for ws in words for w in set(ws))
-    postings = [(w, t, p) for t, ws in enumerate(words) for p, w in enumerate(ws) if df[w] <= RARE_DF]
-    per = Counter(t for _, t, _ in postings)
-    must = []
-    for ws, (_, _, phrases) in zip(words, TEMPLATES):
-        must.append(sorted({p + k for phrase in phrases for n in [len(phrase.split())] for p in range(len(ws) - n + 1) if ws[p : p + n] == phrase.split() for k in range(n)}))
-    return words, postings, [min(VOTES, per[t]) for t in range(len(words))], must
+
+def index(templates: list[tuple[str, str, list[str]]] = TEMPLATES) -> list[Template]:
+    texts = [re.sub(ALNUM_GAP, " ", text.lower()).split() for _, text, _ in templates]
+    df = Counter(w for words in texts for w in set(words))
+    out = []
+    for words, (label, _, phrases) in zip(texts, templates):
+        must = set()
+        for phrase in map(str.split, phrases):
+            at = [p for p in range(len(words) - len(phrase) + 1) if words[p : p + len(phrase)] == phrase]
+            if not at:
+                raise ValueError(f"{label}: {' '.join(phrase)!r} is not in its template")
+            must.update(p + k for p in at for k in range(len(phrase)))
+        rarest = sorted(must, key=lambda p: (-log(len(texts) / df[words[p]]), p))[:ANCHORS]
+        out.append(Template(label, words, sorted(must), [(words[p], p) for p in rarest]))
+    return out
 
 
 def _array(values, kind=None) -> str:
@@ -69,24 +132,22 @@ def _array(values, kind=None) -> str:
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
-    words, postings, votes, must = index()
-    rare = _array(sorted({w for w, _, _ in postings}))
-    posted = "array(" + ", ".join(f"named_struct('w', '{w}', 't', {t}, 'p', {p})" for w, t, p in postings) + ")"
+    entries = index()
+    each = lambda make: "array(" + ", ".join(make(t) for t in entries) + ")"
+    needed = each(lambda t: _array(sorted({t.words[p] for p in t.must})))
+    vocabulary = _array(sorted({t.words[p] for t in entries for p in t.must}))
+    anchors = each(lambda t: "array(" + ", ".join(f"named_struct('w', '{w}', 'p', {p})" for w, p in t.anchors) + ")")
+    templates, musts, labels = each(lambda t: _array(t.words)), each(lambda t: _array(t.must)), _array([t.label for t in entries])
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", F.expr(words_sql(lower_sql("text"), ALNUM_GAP)).alias("words"))
     d = d.select("*", F.size("words").alias("n"), F.expr("concat(' ', array_join(words, ' '))").alias("joined"))
     d = d.select("*", *[F.expr(f"split(joined, ' {phrase}(?= |$)', -1)").alias(f"cut{i}") for i, phrase in enumerate(BASE)])
-    d = d.select("*", F.expr(f"CASE WHEN arrays_overlap(words, {rare}) THEN filter(transform(words, (w, i) -> struct(w, i)), x -> array_contains({rare}, x.w)) END").alias("hits"))
-    votes_sql = (
-        f"aggregate(array_sort(flatten(transform(hits, x -> transform(filter({posted}, p -> p.w = x.w), p -> struct(p.t as t, x.i - p.p as d))))),"
-        " struct(-1 as t, 0 as d, 0 as n, cast(array() as array<struct<t:int,d:int>>) as found),"
-        f" (a, k) -> struct(k.t as t, k.d as d, CASE WHEN k.t = a.t AND k.d = a.d THEN a.n + 1 ELSE 1 END as n,"
-        f" CASE WHEN (CASE WHEN k.t = a.t AND k.d = a.d THEN a.n + 1 ELSE 1 END) = get({_array(votes)}, k.t) THEN concat(a.found, array(struct(k.t as t, k.d as d))) ELSE a.found END as found), a -> a.found)"
-    )
-    d = d.select("*", F.expr(votes_sql).alias("places"))
-    templates = "array(" + ", ".join(_array(w) for w in words) + ")"
-    musts = "array(" + ", ".join(_array(m) for m in must) + ")"
-    labels = _array([label for label, _, _ in TEMPLATES])
+    d = d.select("*", F.expr(f"array_intersect(words, {vocabulary})").alias("known"))
+    d = d.select("*", F.expr(f"filter(sequence(0, {len(entries) - 1}), t -> size(known) > 1 and size(array_except(get({needed}, t), known)) = 0)").alias("possible"))
+    d = d.select("*", F.expr(f"flatten(transform(possible, t -> transform(get({anchors}, t), a -> a.w)))").alias("sought"))
+    d = d.select("*", F.expr("CASE WHEN size(sought) > 0 THEN filter(transform(words, (w, i) -> struct(w, i)), x -> array_contains(sought, x.w)) END").alias("hits"))
+    diagonals = lambda k: f"transform(filter(hits, x -> x.w = get(get({anchors}, t), {k}).w), x -> x.i - get(get({anchors}, t), {k}).p)"
+    d = d.select("*", F.expr(f"flatten(transform(possible, t -> transform(array_intersect({diagonals(0)}, {diagonals(1)}), d -> struct(t, d))))").alias("places"))
     d = d.select(
         "*",
         F.expr(

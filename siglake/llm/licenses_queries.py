@@ -1,14 +1,14 @@
 """Query op5_licenses and its DuckDB SQL."""
 
 from siglake.llm.common import LOWER, UPPER, read
-from siglake.llm.licenses import BASE, TEMPLATES, index, scan_licenses
+from siglake.llm.licenses import BASE, index, scan_licenses
 
 
 def op5_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-_words, _postings, _votes, _must = index()
+_index = index()
 _rows = lambda rows: ", ".join(str(tuple(r)) for r in rows)
 _phrases = " UNION ALL ".join(f"SELECT r, i, '{label}' AS label FROM (SELECT r, w, unnest(range(1, len(w) - {len(p.split()) - 2})) AS i FROM d) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in BASE.items())
 ORACLE = rf"""
@@ -17,14 +17,11 @@ WITH d AS (
 ), base AS ({_phrases}
 ), b AS (
   SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r
-), postings AS (SELECT * FROM (VALUES {_rows(_postings)}) AS v(word, t, p)
-), need AS (SELECT * FROM (VALUES {_rows((t, n, TEMPLATES[t][0], len(_words[t]), len(_must[t])) for t, n in enumerate(_votes))}) AS v(t, votes, label, size, musts)
-), cells AS (SELECT * FROM (VALUES {_rows((t, j, w, int(j in _must[t])) for t, ws in enumerate(_words) for j, w in enumerate(ws))}) AS v(t, j, word, must)
+), need AS (SELECT * FROM (VALUES {_rows((t, x.label, len(x.words), len(x.must)) for t, x in enumerate(_index))}) AS v(t, label, size, musts)
+), cells AS (SELECT * FROM (VALUES {_rows((t, j, w, int(j in x.must)) for t, x in enumerate(_index) for j, w in enumerate(x.words))}) AS v(t, j, word, must)
 ), spots AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d
-), places AS (
-  SELECT r, t, i - p AS dg FROM spots JOIN postings USING (word) JOIN need USING (t) GROUP BY r, t, dg, votes HAVING count(*) >= votes
 ), checked AS (
-  SELECT r, t, dg, count(*) AS agree, sum(must) AS musts FROM places JOIN cells USING (t) JOIN spots USING (r, word) WHERE i = dg + j GROUP BY ALL
+  SELECT r, t, i - j AS dg, count(*) AS agree, sum(must) AS musts FROM spots JOIN cells USING (word) GROUP BY ALL HAVING sum(must) > 1
 ), v AS (
   SELECT r, label, agree / size AS score FROM checked c JOIN need n USING (t) WHERE c.musts = n.musts
 ), l AS (
