@@ -113,3 +113,42 @@ def level_sum(seq: Column, levels: Column, k: int) -> Column:
         return F.struct(rank.alias("rank"), seen.alias("seen"), (a["sum"] + level).cast("bigint").alias("sum"))
 
     return F.aggregate(F.when(seq != "", codes).otherwise(F.array().cast("array<int>")), start, step, lambda a: F.struct(a["sum"].alias("level_sum"), F.greatest(a["seen"] - (k - 1), F.lit(0)).cast("bigint").alias("n")))
+
+
+def lenient_kmer_rank(kmer: Column) -> Column:
+    """The rank with every letter that is no base taken as A."""
+    return kmer_rank(F.regexp_replace(kmer, "[^ACGT]", "A"))
+
+
+def standardised_level(level: Column, mean: Column, stdv: Column, var: Column) -> Column:
+    """Distance from the model in its deviations. Division as IEEE has it: a model without deviation gives an infinity, or NaN for no distance."""
+    distance, unit = (level - mean).cast("double"), (F.sqrt(var) * stdv).cast("double")
+    without = F.when(distance > 0, float("inf")).when(distance < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(unit == 0, without).otherwise(distance / F.nullif(unit, F.lit(0.0)))
+
+
+def scaled_samples(samples: Column, start: Column, length: Column, shift: Column, scale: Column) -> Column:
+    """The samples of an event in units of the model. start counts from 0."""
+    return F.transform(F.slice(samples, start + 1, length), lambda x: (x - shift) / scale)
+
+
+def duration_seconds(length: Column, sample_rate: Column) -> Column:
+    return length / sample_rate
+
+
+def upper_median(values: Column) -> Column:
+    """The value with half of the others, rounded down, below it; null if there are none."""
+    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def scaled_mad(values: Column) -> Column:
+    """Median distance from the median, as a deviation of normal values."""
+    middle = upper_median(values)
+    return upper_median(F.transform(values, lambda x: F.abs(x - middle))) * 1.4826
+
+
+def quantile(values: Column, q: float) -> Column:
+    """The q-th quantile with linear interpolation between neighbours; null if there are no values."""
+    ordered, at = F.array_sort(values), (F.size(values) - 1) * F.lit(q)
+    low = F.get(ordered, F.floor(at).cast("int"))
+    return low + (F.get(ordered, F.ceil(at).cast("int")) - low) * (at - F.floor(at))

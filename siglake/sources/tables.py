@@ -52,3 +52,13 @@ def write_calls(calls: DataFrame, path: str, version: int = 2) -> None:
     scores = [formatted(F.col(c), 2).alias(c) for c in ("log_lik_ratio", "log_lik_methylated", "log_lik_unmethylated")]
     columns = ["chromosome", *(["strand"] if version == 2 else []), "start", "end", "read_name", *scores, "num_calling_strands", F.col("num_motifs").alias("num_motifs" if version == 2 else "num_cpgs"), "sequence"]
     calls.select(*columns).write.csv(path, sep="\t", header=True)
+
+
+def read_read_index(spark: SparkSession, path: str) -> DataFrame:
+    """read_id and path; lines without exactly two fields are left out."""
+    fields = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") == 2)
+    return fields.select(F.col("f")[0].alias("read_id"), F.col("f")[1].alias("path"))
+
+
+def write_read_index(paths: DataFrame, path: str) -> None:
+    paths.select("read_id", "path").orderBy("read_id").write.csv(path, sep="\t", header=False)
