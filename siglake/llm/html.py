@@ -2,14 +2,18 @@
 
 Pass 1 reads every page into tokens: an element's place (its path of container
 tags with their first class) and the text of a block at its place. Tokens of
-one host that occur equally often on each page of the host, i.e. share an
+one host that occur equally often on each of its pages, i.e. share an
 occurrence vector, form an equivalence class. Vectors are compared by a
 mergeable signature, the sum over pages of occurrences times a hash of the page
 modulo 2 ** 64, so a hot host is just a larger partial sum. A class is valid
-as part of the template if its tokens occur once on nearly every page of the
-host; valid places nest by their paths. The skeleton this gives leaves slots:
-the innermost valid place that still holds nearly all text outside menus,
-adverts and the like is the slot of the article. All text in it is kept, however many pages share it.
+if it has least_size tokens or more and stands on least_pages pages or more;
+its texts are the template's own and its places frame slots. Classes nest by
+the paths of their places: what stands below a place once on nearly every page
+lies in that slot. The article's slot is the innermost one that still holds
+nearly all text and headings outside valid classes. All text in it is kept,
+however many pages share it, so a slot inside an article element is never
+chosen, nor one with less than half of a host's text. Where valid classes
+leave next to nothing, as on a host of copies, all text counts.
 
 Pass 2 extracts from every page what fills the slot. Neither pass shuffles
 pages; hosts' templates (a path) are joined, by broadcast
@@ -47,6 +51,7 @@ ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 CONTAINERS = frozenset("html body main article section div header footer nav aside table tbody tr td ul ol form center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head nav footer aside form button dialog fieldset menu".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored sidebar nav navbar navigation menu header footer masthead comment comments reply replies respond disqus cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager widget copyright toolbar search".split()
@@ -71,9 +76,10 @@ def is_noise(name: str, attrs: str, inside: bool) -> bool:
     return bool(found) and (not words & CONTENT or bool(found & {"comment", "comments", "sidebar", "footer"} and name not in ("article", "section") and not words & {"main", "article", "wrapper", "container", "page"}))
 
 
-def page_blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """The blocks outside noise as (place, text), and how often each place occurs."""
+def page_blocks(page: str, labelled: bool = True) -> tuple[list[tuple[str, str]], dict[str, int], set[int]]:
+    """The blocks as (place, text), how often each place occurs, and which blocks are headings. labelled: without blocks that their elements or classes mark as noise."""
     blocks: list[tuple[str, str]] = []
+    heads: set[int] = set()
     places: dict[str, int] = {}
     stack: list[tuple[str, str, bool, bool]] = []  # name, place, noise, inside an article
     place, noise, inside, held, at = "", False, False, [], 0
@@ -82,6 +88,8 @@ def page_blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
+                if stack and stack[-1][0] in HEADINGS:
+                    heads.add(len(blocks))
                 blocks.append((place, text))
             held.clear()
 
@@ -112,7 +120,7 @@ def page_blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
         if name in INLINE:
             if name == "br" or name == "img":
                 held.append(" ")
-            elif not m["attrs"].endswith("/") and is_noise(name, m["attrs"], inside):
+            elif labelled and not m["attrs"].endswith("/") and is_noise(name, m["attrs"], inside):
                 stack.append((name, place, noise, inside))
                 noise = True
             continue
@@ -128,7 +136,7 @@ def page_blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
         if name in VOID or m["attrs"].endswith("/"):
             continue
         stack.append((name, place, noise, inside))
-        noise = noise or is_noise(name, m["attrs"], inside)
+        noise = noise or (labelled and is_noise(name, m["attrs"], inside))
         inside = inside or name in ("article", "main")
         if name in CONTAINERS and not noise:
             first = next((x[2] or x[3] or x[4] or "" for x in ATTR.finditer(m["attrs"]) if x[1].lower() == "class"), "").split()
@@ -137,86 +145,101 @@ def page_blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
     if not noise and at < len(page):
         held.append(page[at:])
     flush()
-    return blocks, places
+    return blocks, places, heads
 
 
 def _hash(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\0{value}".encode())
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, token, place (null for a text), pages, total, signature and chars (of text at or below the place), summed over the host's pages."""
+def page_tokens(pages: DataFrame, labelled: bool = True) -> DataFrame:
+    """host, token, place, is_text, and summed over the host's pages: pages and total (occurrences), signature, chars and heads (of texts: characters, and headings)."""
+    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("place", pa.string()), ("is_text", pa.bool_()), *((c, pa.int64()) for c in ("pages", "total", "signature", "chars", "heads"))])
 
     def tokens(batches):
         sums: dict[tuple, list[int]] = {}
-        schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("place", pa.string()), ("pages", pa.int64()), ("total", pa.int64()), ("signature", pa.int64()), ("chars", pa.int64())])
 
         def out():
-            keys = list(sums)
-            cols = list(zip(*sums.values()))
+            keys, cols = list(zip(*sums)), list(zip(*sums.values()))
             signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array(signed([k[1] for k in keys])), pa.array([k[2] for k in keys], pa.string()), *(pa.array(cols[i], pa.int64()) for i in (0, 1)), pa.array(signed(cols[2])), pa.array(cols[3], pa.int64())], schema=schema)
+            keys[1], cols[2] = signed(keys[1]), signed(cols[2])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(keys + cols, schema)], schema=schema)
             sums.clear()
             return batch
 
         for batch in batches:
             for i, url, host, page in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "host", "html"))):
-                blocks, places = page_blocks(page or "")
+                blocks, places, heads = page_blocks(page or "", labelled)
                 r = _hash("page", f"{i} {url}")
-                chars: dict[str, int] = {}
-                counts: dict[tuple, int] = {}
-                for place, text in blocks:
-                    at = place
-                    while at:
-                        chars[at] = chars.get(at, 0) + len(text)
-                        at = at.rpartition("/")[0]
-                for place, n in places.items():
-                    counts[_hash("place", place), place] = n
-                counts[_hash("place", ""), ""] = 1
-                chars[""] = sum(len(t) for _, t in blocks)
-                for (token, place), n in counts.items():
-                    s = sums.setdefault((host, token, place), [0, 0, 0, 0])
+                here: dict[tuple, list[int]] = {(_hash("place", p), p, False): [n, 0, 0] for p, n in (places | {"": 1}).items()}
+                for k, (place, text) in enumerate(blocks):
+                    t = here.setdefault((_hash("text", f"{place}\0{text}"), place, True), [0, 0, 0])
+                    t[0] += 1
+                    t[1] += len(text)
+                    t[2] += k in heads
+                for token, (n, chars, titles) in here.items():
+                    s = sums.setdefault((host, *token), [0, 0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
                     s[2] = (s[2] + n * r) % (1 << 64)
-                    s[3] += chars.get(place, 0) if place is not None else 0
-            if len(sums) > 200_000:
-                yield out()
+                    s[3] += chars
+                    s[4] += titles
+                if len(sums) > 200_000:
+                    yield out()
         if sums:
             yield out()
 
-    rows = pages.mapInArrow(tokens, "host string, token bigint, place string, pages bigint, total bigint, signature bigint, chars bigint")
+    rows = pages.mapInArrow(tokens, "host string, token bigint, place string, is_text boolean, pages bigint, total bigint, signature bigint, chars bigint, heads bigint")
     # signatures add modulo 2 ** 64: as two halves, which do not overflow
+    halves = [F.sum(F.expr("signature & 4294967295L")).alias("low"), F.sum(F.expr("shiftrightunsigned(signature, 32)")).alias("high")]
     return (
-        rows.groupBy("host", "token", "place")
-        .agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.expr("signature & 4294967295L")).alias("low"), F.sum(F.expr("shiftrightunsigned(signature, 32)")).alias("high"), F.sum("chars").alias("chars"))
-        .withColumn("signature", F.expr("struct(low & 4294967295L, (high + shiftrightunsigned(low, 32)) & 4294967295L)"))
+        rows.groupBy("host", "token", "place", "is_text")
+        .agg(*[F.sum(c).alias(c) for c in ("pages", "total", "chars", "heads")], *halves)
+        .withColumn("signature", F.expr("struct(low & 4294967295L as low, (high + shiftrightunsigned(low, 32)) & 4294967295L as high)"))
         .drop("low", "high")
     )
 
 
-def templates(tokens: DataFrame, *, support: float = 0.95, held_text: float = 0.9) -> DataFrame:
+def template_texts(tokens: DataFrame, *, least_pages: int = 3, least_size: int = 2) -> DataFrame:
+    """The text tokens of valid classes. Tokens on fewer pages go before classes are formed, so a class is no larger than a host's template."""
+    frequent = tokens.where(F.col("pages") >= least_pages)
+    valid = frequent.groupBy("host", "signature").agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
+    return frequent.where("is_text").join(valid.select("host", "signature"), ["host", "signature"], "left_semi")
+
+
+def templates(tokens: DataFrame, *, support: float = 0.95, held_text: float = 0.9, least_text: float = 0.5, least_left: float = 0.1, max_broadcast: int = 20_000, **classes) -> DataFrame:
     """host and main (place of the article's slot). Texts in the slot are never told apart by how often they occur, as an article may repeat on all pages of a host."""
     tokens = materialize(tokens, "tokens")
-    root = tokens.where("place = ''").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"))
-    known = tokens.join(root, "host").where(F.col("pages") >= support * F.col("n"))
-    known = known.where("total = pages")  # once on (nearly) every page
-    main = known.where(F.col("place").isNotNull() & (F.col("chars") >= held_text * F.col("all_chars")))
-    main = main.groupBy("host").agg(F.max_by("place", F.struct(F.length(F.regexp_replace("place", "[^/]", "")), "place")).alias("main"))
+    texts = tokens.where("is_text").select("host", "place", "chars", "heads", F.col("chars").alias("left"), F.col("heads").alias("left_heads"))
+    fixed = template_texts(tokens, **classes).select("host", "place", F.lit(0).alias("chars"), F.lit(0).alias("heads"), (-F.col("chars")).alias("left"), (-F.col("heads")).alias("left_heads"))
+    sums = [F.sum(c).alias(c) for c in ("chars", "heads", "left", "left_heads")]
+    direct = texts.union(fixed).groupBy("host", "place").agg(*sums)
+    # every place holds what lies at and below it
+    steps = F.expr("transform(sequence(1, size(split(place, '/'))), k -> array_join(slice(split(place, '/'), 1, k), '/'))")
+    held = direct.withColumn("place", F.explode(steps)).groupBy("host", "place").agg(*sums)
+    frames = tokens.where("not is_text").select("host", "place", "pages", "total").join(held, ["host", "place"], "left").na.fill(0, ["chars", "heads", "left", "left_heads"])
+    frames = materialize(frames, "frames")
+    root = frames.where("place = ''").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"), F.col("left").alias("all_left"), F.col("left_heads").alias("all_heads"))
+    slots = frames.join(checked_broadcast(materialize(root, "roots"), max_broadcast), "host").where((F.col("pages") >= support * F.col("n")) & (F.col("total") == F.col("pages")))
+    slots = slots.where(~F.col("place").rlike(r"/article(\.[^/]*)?/"))
+    told = F.col("all_left") >= least_left * F.col("all_chars")
+    by_left = (F.col("left") >= held_text * F.col("all_left")) & (F.col("chars") >= least_text * F.col("all_chars")) & (F.col("left_heads") >= held_text * F.col("all_heads"))
+    slots = slots.where(F.when(told, by_left).otherwise(F.col("chars") >= F.col("all_chars")))
+    main = slots.groupBy("host").agg(F.max_by("place", F.struct(F.length(F.regexp_replace("place", "[^/]", "")), "place")).alias("main"))
     return materialize(main, "templates")
 
 
-def extract_text(pages: DataFrame, *, max_broadcast: int = 20_000, **options) -> DataFrame:
+def extract_text(pages: DataFrame, *, max_broadcast: int = 20_000, labelled: bool = True, **options) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     todo = pages.select("page_id", "url", host.alias("host"), "html")
-    found = checked_broadcast(templates(page_tokens(todo), **options), max_broadcast)
+    found = checked_broadcast(templates(page_tokens(todo, labelled), max_broadcast=max_broadcast, **options), max_broadcast)
     kinds = {c: todo.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def extract(batches):
         for batch in batches:
             texts, n_blocks = [], []
             for page, main in zip(*(batch[c].to_pylist() for c in ("html", "main"))):
-                blocks, places = page_blocks(page or "")
+                blocks, places, _ = page_blocks(page or "", labelled)
                 if main and places.get(main):
                     own = [x for x in blocks if x[0] == main or x[0].startswith(main + "/")]
                 else:
