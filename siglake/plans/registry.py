@@ -332,4 +332,4 @@ def streaming_meth_freq(spark, sf):
     return run_available(spark, calls, "streamed_sites")
 
 
-from siglake.plans import calling_queries, kernel_queries  # noqa: E402, F401  registers their queries
+from siglake.plans import calling_queries, emit_queries, kernel_queries  # noqa: E402, F401  registers their queries
