@@ -13,6 +13,7 @@ SCHEMAS = {
     "events": "read_id long, start array<long>, length array<float>, mean array<float>, stdv array<float>",
     "aligned": "read_id long, n_aligned long, avg_emission double, passed boolean, ss string",
     "hmm": "read_id long, log_lik double",
+    "walk": "read_id long, event array<long>, ref_pos array<long>, states string",
     "path": "read_id long, log_lik double, states string",
 }
 
@@ -85,3 +86,25 @@ def viterbi(spark, sf):
         return r["read_id"], score, "".join(s for _, _, s in path)
 
     return per_read(signals(spark, sf), SCHEMAS["path"], kernel)
+
+
+@query()
+def event_walk(spark, sf):
+    """Events of a read along its own sequence, from the banded alignment to the stretches' best paths."""
+    level, stdv = model()
+
+    def kernel(r):
+        e = K.detect_events(r["samples"])["mean"]
+        ranks = K.kmer_ranks(sequence_of(r["read_id"], max(8, len(e) // 2 + 5)), 5)
+        shift, scale = K.scale_by_moments(e, level[ranks])
+        a = K.align(e, ranks, level, stdv, shift, scale)
+        start, _, per_base = K.map_bases(a["kmer"], a["event"], len(ranks))
+        mapped = np.flatnonzero(start >= 0)
+        if not len(mapped):
+            return r["read_id"], [], [], ""
+        near = start[mapped[np.maximum(np.searchsorted(mapped, np.arange(len(ranks)), side="right") - 1, 0)]]
+        at = np.arange(len(ranks) + 4)
+        events, positions, states = K.walk_events(at, at, near, ranks, 0, (level, stdv), (shift, scale, 1.0, max(1.2, per_base)), e, 5)
+        return r["read_id"], events, positions, "".join(states)
+
+    return per_read(signals(spark, sf), SCHEMAS["walk"], kernel)
