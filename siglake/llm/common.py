@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A broadcast side may have this many rows at most; every caller states a row width of under 200 bytes.
@@ -74,3 +74,17 @@ def lower_sql(text: str) -> str:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with i, each row's place from 0 in its group by order, nulls first; a group may hold any share of all rows.
+
+    Rows are dealt into ranges, so a large group lies in many of them. A row's place is its place in its range, from the first row of its group there, and the number of the group's rows in the ranges before, of which there is one row for each group and range. Rows that are equal in order are numbered in any order."""
+    by = [F.col(c).asc_nulls_first() for c in group + order]
+    held = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), name)
+    held = held.withColumn("range", F.shiftright("at", 33))
+    per = held.groupBy(*group, "range").agg(F.min("at").alias("least"), F.count("*").alias("rows"))
+    earlier = F.sum("rows").over(Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    per = materialize(per.select(*[F.col(c).alias(f"g_{c}") for c in group], F.col("range").alias("g_range"), (F.coalesce(earlier, F.lit(0)) - F.col("least")).alias("shift")), f"{name}-ranges")
+    same = all_of([F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in group] + [F.col("range") == F.col("g_range")])
+    return held.join(checked_broadcast(per), same).select(*df.columns, (F.col("at") + F.col("shift")).alias("i"))

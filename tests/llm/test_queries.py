@@ -67,7 +67,7 @@ def test_very_long(spark, odd, tmp_path, name):
     for t in ("benchmark", "labels"):
         spark.read.parquet(f"{odd}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     text = " ".join(f"w{i % 9973}x{i % 7}" for i in range(200_000))
-    spark.createDataFrame([(1, text, "en", "src0"), (2, text + " end", "en", "src0")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text, "en", "src0", 5), (2, text + " end", "en", "src0", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     if name == "op6_mixing":  # which of the two is drawn follows from their hashes
         assert_same(QUERIES[name](spark, str(tmp_path)), str(tmp_path), ORACLES[name])
     else:
