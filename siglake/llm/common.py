@@ -88,3 +88,10 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     per = materialize(per.select(*[F.col(c).alias(f"g_{c}") for c in group], F.col("range").alias("g_range"), (F.coalesce(earlier, F.lit(0)) - F.col("least")).alias("shift")), f"{name}-ranges")
     same = all_of([F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in group] + [F.col("range") == F.col("g_range")])
     return held.join(checked_broadcast(per), same).select(*df.columns, (F.col("at") + F.col("shift")).alias("i"))
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left joined to right, in which a key stands once. hot: the keys of at least a fixed share of left's rows, so of a number that the share bounds; their rows of right are broadcast and left's rows with them stay where they are."""
+    hot = F.broadcast(hot.select(key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(few, key).unionByName(left.join(hot, key, "left_anti").join(right, key))
