@@ -31,13 +31,18 @@ def odd(spark, tmp_path_factory):
     page = "<html><body><nav>menu</nav><article><h1>T</h1><p>one &amp; two<p>three<br>four</article><footer>f</footer></body></html>"
     pages = [(1, "http://a.example/1", page), (1, "http://a.example/1", page), (2, None, page), (3, "x", None), (4, "http://a.example/2", ""), (5, "http://b.example/", "<p>open <b>text <!-- cut")]
     spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string").write.parquet(f"{d}/pages.parquet")
+    turns = [(c, t, r, x, "k") for c, t, r, x in [(0, 0, "user", "hi"), (0, 1, "bot", "yes"), (0, 1, "bot", "yes"), (0, None, None, "first"), (7, 3, "user", None), (7, 3, None, ""), (101, 0, "user", "hi"), (-5, 0, "user", LONG), (None, 0, "user", "x"), (100, 0, "é", "ü"), (12, 1, "user", "hi"), (12, 2, "bot", "yes")]]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, key string").coalesce(2).write.parquet(f"{d}/conversations.parquet")
+    near, inf = [1.0] * 63 + [0.9], float("inf")
+    vectors = [(1, [1.0] * 64, 1), (2, near, 1), (3, [2.0] * 64, 1), (3, [2.0] * 64, 1), (4, near, 2), (5, None, 1), (6, [0.0] * 64, 1), (7, [1.0, None], 1), (8, [1.0, float("nan")], 1), (9, [inf, 1.0], 1), (10, [], 1), (11, [1.0] * 64, None), (12, [1.0, 1.0], 1), (13, [1.0, 0.99], 1), (None, [1.0] * 64, 1), (14, [-1.0] * 64, 1)]
+    spark.createDataFrame([(*v, "x", 2.0) for v in vectors], "vec_id long, embedding array<float>, label int, digest string, copies double").coalesce(2).write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{odd}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
@@ -56,13 +61,13 @@ def test_odd_rows_against_sql(spark, odd, name):
 def test_odd_rows_run(spark, odd, name):
     started = datetime.datetime.now()
     rows = QUERIES[name](spark, odd).collect()
-    tables = {"op3_html_text": 6}
-    if name not in ("op4_substring_dedup", "op6_mixing"):
+    tables = {"op3_html_text": 6, "op13_embedding_links": 16}
+    if name not in ("op4_substring_dedup", "op6_mixing", "op11_prefix_trie"):
         assert len(rows) == tables.get(name, len(TEXTS) + 3)
     assert (datetime.datetime.now() - started).seconds < 120
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op3_html_text"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op3_html_text", "op11_prefix_trie", "op13_embedding_links"}))
 def test_very_long(spark, odd, tmp_path, name):
     for t in ("benchmark", "labels"):
         spark.read.parquet(f"{odd}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
