@@ -52,11 +52,12 @@ def t_statistic(samples: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def moment_scaling(events: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """shift and scale by the method of moments. events: key, mean; model: key, level_mean of each of the read's k-mers."""
-    e = events.groupBy(key).agg(F.avg("mean").alias("e_mean"), F.collect_list("mean").alias("means"))
-    m = model.groupBy(key).agg(F.avg("level_mean").alias("k_mean"), F.avg(F.col("level_mean") * F.col("level_mean")).alias("k_sq"))
+    """shift and scale by the method of moments. events: key, mean; model: key, level_mean of each of the read's k-mers. Both sides are sums, so a long read costs one row per task."""
+    square = lambda c: F.avg(F.col(c).cast("double") * F.col(c))
+    e = events.groupBy(key).agg(F.avg("mean").alias("e_mean"), square("mean").alias("e_sq"))
+    m = model.groupBy(key).agg(F.avg("level_mean").alias("k_mean"), square("level_mean").alias("k_sq"))
     j = e.join(m, key).withColumn("shift", F.col("e_mean") - F.col("k_mean"))
-    sq = F.expr("aggregate(means, 0D, (a, x) -> a + (x - shift) * (x - shift)) / size(means)")
+    sq = F.col("e_sq") - 2 * F.col("shift") * F.col("e_mean") + F.col("shift") * F.col("shift")
     return j.select(key, "shift", (sq / F.col("k_sq")).alias("scale"))
 
 
@@ -97,7 +98,7 @@ def _islands(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def collapse(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
-    """Runs of consecutive rows at one position as one row: length-weighted mean, total length, first event and k-mer."""
+    """Runs of consecutive rows at one position as one row: length-weighted mean, total length, first event and k-mer. What a signal says of a run is measured by signals.collapse_raw."""
     r = _islands(rows, key, order)
     total = F.sum("length")
     return r.groupBy(key, "island", "ref_pos").agg(
@@ -105,17 +106,23 @@ def collapse(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
     )
 
 
-def weighted_positions(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
-    """Runs of consecutive rows at one position as one row: length-weighted level, deviation and duration of the rows whose k-mers agree, NaN where none does."""
+def weighted_positions(rows: DataFrame, key: str, order: str = "i", scaled: bool = False, indexed: bool = False) -> DataFrame:
+    """Runs of consecutive rows at one position as one row: length-weighted level, deviation and duration of the rows whose k-mers agree, NaN where none does.
+
+    scaled: levels are brought to the model first, by the read's shift and scale. indexed: also start_idx and end_idx, the samples from where the run's first or last event (start to stop) starts to where the first or last ends, whatever their k-mers."""
+    if scaled:
+        rows = rows.withColumn("level", (F.col("level") - F.col("shift")) / F.col("scale"))
     length = F.when(F.col("ref_kmer") == F.col("model_kmer"), F.col("length")).otherwise(0)
     total = F.sum(length)
     mean = lambda c: F.when(total != 0, F.sum(F.col(c) * length) / total).otherwise(float("nan"))
+    ends = lambda f, c: f(F.min_by(c, order), F.max_by(c, order))
     return _islands(rows, key, order).groupBy(key, "island", "ref_pos").agg(
         F.min_by("ref_kmer", order).alias("ref_kmer"),
         mean("level").alias("event_level_mean"),
         mean("stdv").alias("event_stdv"),
         mean("duration").alias("event_duration"),
         total.alias("event_length"),
+        *([ends(F.least, "start").alias("start_idx"), ends(F.greatest, "stop").alias("end_idx")] if indexed else []),
     )
 
 

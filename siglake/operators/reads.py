@@ -43,9 +43,10 @@ def split_long(reads: DataFrame, threshold: int = 100_000) -> tuple[DataFrame, D
     return reads.where(~long), reads.where(long)
 
 
-def with_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:
-    """Alignments with their read's sequence; empty where the read is missing."""
-    return alignments.join(reads.select("read_id", "seq"), "read_id", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+def with_reads(alignments: DataFrame, reads: DataFrame, value: Column | None = None, name: str = "seq", missing: object = "") -> DataFrame:
+    """Alignments with their read's sequence, or a value of it, which is made before the join so that it alone is shuffled; missing where the read is."""
+    values = reads.select("read_id", (F.col("seq") if value is None else value).alias(name))
+    return alignments.join(values, "read_id", "left").withColumn(name, F.coalesce(name, F.lit(missing)))
 
 
 def missing_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:

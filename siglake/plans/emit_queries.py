@@ -37,6 +37,21 @@ def m6anet_lines(spark, sf):
     return O.m6anet_rows(E.weighted_positions(laid(spark, sf), "read_id", "number").selectExpr("*", "'chr1' as contig", "read_id as read_name"))
 
 
+_scaled = f"(SELECT * REPLACE ((level - read_id % 5) / (1 + read_id % 3 / 4::DOUBLE) AS level) FROM {_laid})"
+
+
+@query(f"""
+WITH s AS (SELECT *, CASE WHEN ref_pos = lag(ref_pos) OVER (PARTITION BY read_id ORDER BY number) THEN 0 ELSE 1 END AS fresh, CASE WHEN ref_kmer = model_kmer THEN length ELSE 0 END AS n FROM {_scaled}),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT read_id, ref_pos, CASE WHEN sum(n) = 0 THEN 'nan'::DOUBLE ELSE round(sum(n * level) / sum(n), 6) END AS event_level_mean, CAST(sum(n) AS BIGINT) AS event_length,
+  least(arg_min(start, number), arg_max(start, number)) AS start_idx, greatest(arg_min(stop, number), arg_max(stop, number)) AS end_idx FROM g GROUP BY read_id, island, ref_pos""")
+def m6anet_positions(spark, sf):
+    """Levels brought to the model before they are weighted, and where the run lies on the signal."""
+    d = laid(spark, sf).selectExpr("*", "cast(read_id % 5 as double) as shift", "1 + read_id % 3 / 4D as scale")
+    out = E.weighted_positions(d, "read_id", "number", scaled=True, indexed=True)
+    return out.select("read_id", "ref_pos", F.round("event_level_mean", 6).alias("event_level_mean"), "event_length", "start_idx", "end_idx")
+
+
 @query(f"""
 WITH s AS (SELECT *, ref_pos - lag(ref_pos) OVER (PARTITION BY read_id ORDER BY number) AS move FROM {_laid}),
 t AS (SELECT read_id, count(*) AS n, count(*) FILTER (move = 1) AS a, count(*) FILTER (move > 1 OR move < 0) AS b, count(*) FILTER (move = 0) AS c, CAST(sum(duration) AS BIGINT) AS d FROM s GROUP BY read_id)

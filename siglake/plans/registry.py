@@ -129,7 +129,8 @@ def ultra_split(spark, sf):
 
 @query(f"SELECT a.read_id, a.contig, a.pos, coalesce(length(seq), 0) AS n FROM {ALN} a LEFT JOIN {READS} r ON a.read_id = r.read_id")
 def aln_reads_join(spark, sf):
-    return R.with_reads(view(spark, sf, "alignments"), view(spark, sf, "reads")).select("read_id", "contig", "pos", F.length("seq").cast("bigint").alias("n"))
+    lengths = F.length("seq").cast("bigint")
+    return R.with_reads(view(spark, sf, "alignments").select("read_id", "contig", "pos"), view(spark, sf, "reads"), lengths, "n", 0)
 
 
 @query(f"SELECT DISTINCT a.read_id FROM {ALN} a ANTI JOIN {READS} r ON a.read_id = r.read_id")
@@ -207,9 +208,9 @@ def kmer_rank5(spark, sf):
 
 @query(f"SELECT read_id, CAST(sum(80 + r % 37) AS BIGINT) AS level_sum, count(*) AS n FROM (SELECT read_id, list_sum(list_transform(range(6), lambda i: (instr('ACGT', substr(kmer, i + 1, 1)) - 1) * CAST(pow(4, 5 - i) AS BIGINT)))::BIGINT AS r FROM (SELECT read_id, substr(seq, unnest(range(1, length(seq) - 4)), 6) AS kmer FROM {READS})) GROUP BY read_id")
 def kmer_model_join(spark, sf):
-    levels = F.lit([80 + r % 37 for r in range(4**6)])  # the model: 4 ** k levels by its nature, folded to one literal
-    found = view(spark, sf, "reads").where("length(seq) >= 6").select("read_id", S.level_sum(F.col("seq"), levels, 6).alias("f"))
-    return found.select("read_id", "f.level_sum", "f.n")
+    levels = [80 + r % 37 for r in range(4**6)]  # the model: 4 ** k levels by its nature
+    found = view(spark, sf, "reads").select("read_id", S.level_sum(levels, 6)("seq").alias("f"))
+    return found.select("read_id", "f.level_sum", "f.n").where("n > 0")
 
 
 _sites = f"(SELECT read_id, unnest(list_filter(range(length(seq) - 1), lambda i: substr(seq, i + 1, 2) = 'CG')) AS pos FROM {READS})"
@@ -273,12 +274,13 @@ def mom_scaling(spark, sf):
 
 
 @query(
-    f"""SELECT read_id, n, round((a11 * b0 - a01 * b1) / det, 4) AS shift, round((a00 * b1 - a01 * b0) / det, 4) AS scale, n >= 200 AS enough FROM (SELECT *, a00 * a11 - a01 * a01 AS det FROM
- (SELECT read_id, count(*) AS n, sum(w) AS a00, sum(w * m) AS a01, sum(w * m * m) AS a11, sum(w * x) AS b0, sum(w * m * x) AS b1 FROM (SELECT read_id, x::DOUBLE AS x, level_mean::DOUBLE AS m, 1 / (level_stdv * level_stdv)::DOUBLE AS w FROM {_model.format(SAMPLES)}) GROUP BY read_id)) WHERE det <> 0"""
+    f"""SELECT read_id, n, round((a11 * b0 - a01 * b1) / det, 4) AS shift, round((a00 * b1 - a01 * b0) / det, 4) AS scale, n >= 200 AS enough,
+ round(sqrt(greatest(c - (a11 * b0 - a01 * b1) / det * b0 - (a00 * b1 - a01 * b0) / det * b1, 0) / n), 3) AS var FROM (SELECT *, a00 * a11 - a01 * a01 AS det FROM
+ (SELECT read_id, count(*) AS n, sum(w * x * x) AS c, sum(w) AS a00, sum(w * m) AS a01, sum(w * m * m) AS a11, sum(w * x) AS b0, sum(w * m * x) AS b1 FROM (SELECT read_id, x::DOUBLE AS x, level_mean::DOUBLE AS m, 1 / (level_stdv * level_stdv)::DOUBLE AS w FROM {_model.format(SAMPLES)}) GROUP BY read_id)) WHERE det <> 0"""
 )
 def wls_recalib(spark, sf):
     s = view(spark, sf, "samples").selectExpr("read_id", "cast(x as double) as mean", "cast(80 + i % 37 as double) as level_mean", "cast(1 + i % 5 as double) as level_stdv")
-    return E.recalibration(s, "read_id").select("read_id", "n", F.round("shift", 4).alias("shift"), F.round("scale", 4).alias("scale"), "enough")
+    return E.recalibration(s, "read_id").select("read_id", "n", F.round("shift", 4).alias("shift"), F.round("scale", 4).alias("scale"), "enough", F.round("var", 3).alias("var"))
 
 
 @query(f"SELECT read_id, i, CASE WHEN kmer_rank = lag(kmer_rank) OVER (PARTITION BY read_id ORDER BY i) THEN 'E' ELSE 'M' END AS state FROM {PAIRS}")
@@ -332,4 +334,4 @@ def streaming_meth_freq(spark, sf):
     return run_available(spark, calls, "streamed_sites")
 
 
-from siglake.plans import calling_queries, emit_queries, kernel_queries  # noqa: E402, F401  registers their queries
+from siglake.plans import calling_queries, emit_queries, file_queries, join_queries, kernel_queries  # noqa: E402, F401  registers their queries
