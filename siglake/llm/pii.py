@@ -14,8 +14,11 @@ Values that fail validation stay as they are. Everything happens within a row,
 nothing is shuffled. The key is a parameter; whoever holds it can invert the
 permutations.
 
-Edge cases. Null text stays null, empty text empty, both with no finds.
-Repeated documents: a row each. Empty table: no rows. Extra columns pass
+Edge cases. Null text stays null, empty text empty, both with no finds. Long
+texts are searched whole, in time linear in their length; of an address whose
+local part is longer than 64 characters, the last 64 are replaced, and one with
+over 100 labels is none. Where kinds overlap, the earlier start counts, of equal
+starts the earlier kind. Repeated documents: a row each. Empty table: no rows. Extra columns pass
 through, but for the names the operator adds.
 """
 
@@ -33,15 +36,17 @@ IBANS = {
     25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
 }
 IBAN = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{n // 4}}}" + (f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
-#: kind: pattern, tried in this order at each place
+#: Country codes of one and two digits; all others have three.
+CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: kind: pattern, tried in this order at each place. Every repetition has a bound, and those of groups a small one, so that a place costs a bounded number of steps and the matcher's stack stays low in any text
 PATTERNS = {
-    "email": r"[A-Za-z0-9\u0080-￿][A-Za-z0-9._%+\u0080-￿-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": rf"(?<![0-9A-Za-z])(?:{IBAN}|[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]{{11,30}}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![0-9A-Za-z])",
+    "email": r"[A-Za-z0-9\u0080-￿][A-Za-z0-9._%+\u0080-￿-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,100}[A-Za-z]{2,63}",
+    "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN}|[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]{{11,30}}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z/])",
+    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z/])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
@@ -123,8 +128,8 @@ def _iban(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    # the country code stays: the digits before the first separator of a number with a plus
-    code = "CASE WHEN m like '+%' and m rlike '^[+][0-9]{1,3}[^0-9]' THEN length(regexp_extract(m, '^[+]([0-9]+)', 1)) ELSE 0 END"
+    # the country code stays: the digits before the first separator of a number with a plus, or those that can be no other code
+    code = f"CASE WHEN m not like '+%' THEN 0 WHEN m rlike '^[+][0-9]{{1,3}}[^0-9]' THEN length(regexp_extract(m, '^[+]([0-9]+)', 1)) ELSE length(regexp_extract(m, '^[+]((?:{CODES})|[0-9]{{3}})', 1)) END"
     body = lambda d: with_(code, "c", lambda c: f"CASE WHEN length({d}) between 7 and 15 THEN " + with_(permuted_digits(key, "phone", f"substr({d}, {c} + 1)"), "b", lambda b: refill("m", f"concat(substr({d}, 1, {c}), {b})")) + " END")
     return with_(digits("m"), "d", body)
 
@@ -142,8 +147,8 @@ def _ip(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    day = "CASE WHEN m like '____-%' THEN try_to_date(m, 'yyyy-MM-dd') ELSE coalesce(try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy'), try_to_date(translate(m, '/', '.'), 'MM.dd.yyyy')) END"
-    form = "CASE WHEN m like '____-%' THEN date_format(n, 'yyyy-MM-dd') WHEN try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy') is null THEN date_format(n, concat('MM', substr(m, 3, 1), 'dd', substr(m, 6, 1), 'yyyy')) ELSE date_format(n, concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy')) END"
+    day = "CASE WHEN m rlike '^[0-9]{4}' THEN try_to_date(translate(m, '/', '-'), 'yyyy-MM-dd') ELSE coalesce(try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy'), try_to_date(translate(m, '/', '.'), 'MM.dd.yyyy')) END"
+    form = "CASE WHEN m rlike '^[0-9]{4}' THEN translate(date_format(n, 'yyyy-MM-dd'), '-', substr(m, 5, 1)) WHEN try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy') is null THEN date_format(n, concat('MM', substr(m, 3, 1), 'dd', substr(m, 6, 1), 'yyyy')) ELSE date_format(n, concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy')) END"
     # first day, and the two factors of the number of days, of the cycle that holds day t; the calendar's ends have shorter ones
     cycle = lambda t: f"CASE WHEN {t} < -584388 THEN struct(-693595L as s, 7L as m, 15601L as n) WHEN {t} >= 2921940 THEN struct(2921940L as s, 92L as m, 397L as n) ELSE struct(146097L * cast(floor({t} / 146097) as bigint) as s, 27L as m, 5411L as n) END"
     moved = lambda t: with_(cycle(t), "y", lambda y: with_(feistel(key, "date", f"({t} - {y}.s) div {y}.n", f"({t} - {y}.s) % {y}.n", f"{y}.m", f"{y}.n"), "f", lambda f: with_(f"date_add(date'1900-01-01', cast({y}.s + {f}.l * {y}.n + {f}.r as int))", "n", lambda n: form)))
