@@ -146,15 +146,12 @@ def band_rows(nodes: DataFrame, bits: int, count: int) -> DataFrame:
 def _near(own, other, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices into own and other of the pairs at least or more. Sides: unit rows, turned rows, signs, factors."""
     (u, _, signs, factor), (v, whole, _, _) = own, other
-    size, rotations = whole.shape[2], whole.shape[1]
-    estimate = np.zeros((len(u), len(v)))
-    spread = np.zeros(len(u))
-    for r in range(rotations):
-        estimate += signs[:, r] @ whole[:, r].T / math.sqrt(size) / factor[:, r, None]
-        spread += (1 - factor[:, r] ** 2) / factor[:, r] ** 2 / (size - 1)
-    # mean of independent estimates; a bound on the deviation of each is in its correction factor
-    bound = SURE * np.sqrt(spread) / rotations
-    a, b = np.nonzero(estimate / rotations + bound[:, None] >= least)
+    rotations, size = whole.shape[1:]
+    # mean of independent estimates, one a rotation; what each may be off by is in its correction factor
+    weighted = signs / (factor[:, :, None] * rotations * math.sqrt(size))
+    estimate = weighted.reshape(len(u), -1) @ whole.reshape(len(v), -1).T
+    bound = SURE * np.sqrt(((1 - factor**2) / factor**2).sum(axis=1) / (size - 1)) / rotations
+    a, b = np.nonzero(estimate + bound[:, None] >= least)
     keep = np.empty(len(a), dtype=bool)
     for k in range(0, len(a), CHUNK):
         keep[k : k + CHUNK] = np.einsum("ij,ij->i", u[a[k : k + CHUNK]], v[b[k : k + CHUNK]]) >= least
@@ -182,43 +179,48 @@ def compared(runs: DataFrame, least: float) -> DataFrame:
         at, rows = None, []
 
         def settled(rows):
-            ids, band = np.array([r[0] for r in rows]), rows[0][7]
-            unit = unit_rows([r[2] for r in rows])
-            copies = np.array([r[1] for r in rows])
-            keys = np.array([r[3] for r in rows])
-            factor = np.stack([np.frombuffer(r[5], dtype="<f8") for r in rows])
-            bits = np.unpackbits(np.stack([np.frombuffer(r[4], dtype=np.uint8) for r in rows]), axis=1)
-            signs = (bits[:, : factor.shape[1] * padded(unit.shape[1])].astype(float) * 2 - 1).reshape(len(rows), factor.shape[1], -1)
-            whole = np.stack([turned(unit, r) for r in range(factor.shape[1])], axis=1)
-            side = np.array([r[6] for r in rows])
-            pick = lambda i: (unit[i], whole[i], signs[i], factor[i])
+            ids, copies, keys, side = (np.array([r[k] for r in rows]) for k in range(4))
+            sides = [np.stack([r[k] for r in rows]) for k in range(5, 9)]  # unit, turned, signs, factors
             if side[0] == ALONE:
-                a, b = _near(pick(slice(None)), pick(slice(None)), least)
+                a, b = _near(sides, sides, least)
                 a, b = a[a < b], b[a < b]
             else:
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                a, b = _near(pick(left), pick(right), least)
+                a, b = _near([x[left] for x in sides], [x[right] for x in sides], least)
                 a, b = left[a], right[b]
-            fresh = np.ones(len(a), dtype=bool)
+            band, fresh = rows[0][4], np.ones(len(a), dtype=bool)
             for k in range(0, len(a), CHUNK):  # not where an earlier band has them together
                 fresh[k : k + CHUNK] = ~(keys[a[k : k + CHUNK], :band] == keys[b[k : k + CHUNK], :band]).any(axis=1)
             a, b = a[fresh], b[fresh]
+            if not len(a):
+                return ids[:0], ids[:0], ids[:0]
             links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
             some = np.flatnonzero(links)
-            label = lowest_linked(len(rows), a, b)
-            return ids[some], links[some].astype(np.int64), ids[label[some]]
+            return ids[some], links[some].astype(np.int64), ids[lowest_linked(len(rows), a, b)[some]]
 
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["id", "links", "linked"])
 
         for batch in batches:
-            found, columns = [], [batch[c].to_pylist() for c in ("id", "copies", "vector", "keys", "signs", "factors", "side", "band")]
-            for key, *row in zip(zip(*(batch[c].to_pylist() for c in RUN)), *columns):
+            found, dims = [], batch["dim"].to_numpy()
+            made = [None] * batch.num_rows
+            for dim in np.unique(dims):  # a batch's vectors are turned at once
+                where = np.flatnonzero(dims == dim)
+                part = batch.take(pa.array(where))
+                unit = unit_rows(part["vector"].to_pylist())
+                factor = np.stack([np.frombuffer(x, dtype="<f8") for x in part["factors"].to_pylist()])
+                bits = np.unpackbits(np.stack([np.frombuffer(x, dtype=np.uint8) for x in part["signs"].to_pylist()]), axis=1)
+                signs = (bits[:, : factor.shape[1] * padded(int(dim))].astype(np.float32) * 2 - 1).reshape(len(where), factor.shape[1], -1)
+                whole = np.stack([turned(unit, r).astype(np.float32) for r in range(factor.shape[1])], axis=1)
+                for k, *x in zip(where, unit, whole, signs, factor):
+                    made[k] = x
+            columns = [batch[c].to_pylist() for c in ("id", "copies", "keys", "side", "band")]
+            for key, x, *row in zip(zip(*(batch[c].to_pylist() for c in RUN)), made, *columns):
                 if key != at and rows:
                     found.append(settled(rows))
                     rows = []
                 at = key
-                rows.append(row)
+                rows.append([*row, *x])
             if found:
                 yield out(found)
         if rows:
