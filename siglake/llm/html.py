@@ -1,7 +1,8 @@
 """HTML main text by equivalence-class template deduction.
 
 Pass 1 reads every page into tokens: an element's place (its path of container
-tags with their first class) and the text of a block at its place. Tokens of
+tags with their first class, known by a digest made from its parent's) and the
+text of a block at its place. Tokens of
 one host that occur equally often on each of its pages, i.e. share an
 occurrence vector, form an equivalence class. Vectors are compared by a
 mergeable signature, the sum over pages of occurrences times a hash of the page
@@ -9,7 +10,7 @@ modulo 2 ** 64, so a hot host is just a larger partial sum. A class is valid
 if it has least_size tokens or more and stands on least_pages pages or more;
 its texts are the template's own and its places frame slots. Classes nest by
 the paths of their places: what stands below a place once on nearly every page
-lies in that slot. The article's slot is the innermost one that still holds
+lies in that slot, and sums over what lies below are made by pointer jumping. The article's slot is the innermost one that still holds
 nearly all text and headings outside valid classes. All text in it is kept,
 however many pages share it, so a slot inside an article element is never
 chosen, nor one with less than half of a host's text. Where valid classes
@@ -20,12 +21,18 @@ pages; hosts' templates (a path) are joined, by broadcast
 where a count shows them to be few.
 
 Menus, footers, sidebars, notices, adverts, forms and comments are known by
-their elements and by words in class, id and role. Inside an article a header
-is part of it.
+their elements and by words in class, id and role. In the article's slot, and
+inside article and main elements, words tell nothing: there navigation, asides,
+footers and forms go by their elements, and a box goes as reader comments or an
+advert only if it is a container and every name in its class and id says so.
+A header there is part of the article.
 
 Edge cases. Null html: an empty page, empty text. Null url: a host of its own.
 Repeated pages: a row each. Unclosed elements end with their parent; text after
-a cut is kept. Empty table: no rows. Extra columns are ignored.
+a cut is kept. Long and deep pages: time and memory linear in their length, as
+places are digests, end tags of nothing open are passed over, and no pattern
+looks beyond the next angle bracket. Ties between slots: the deepest, then the
+greatest digest. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +47,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siglake.llm.common import checked_broadcast, materialize
+from siglake.llm.trie import rolled_up
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|object|math|canvas|audio|video)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|object|math|canvas|audio|video)\b[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^<>]*+>""",
     re.S | re.I,
 )
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -61,28 +69,41 @@ CLOSED_BY = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "td": frozense
 SPACE = re.compile(r"\s+")
 
 
+#: Names of boxes that hold nothing but reader comments or adverts, as far as whole names go.
+BOX = re.compile(r"(?:(?:reader|user)[-_]?)?(?:comments?|repl(?:y|ies)|respond|disqus)(?:[-_]?(?:list|section|area|thread|block|box|wrapper|container))?|(?:ads?|adverts?|advertis(?:e?ments?|ing)|sponsored)(?:[-_]?(?:slot|block|box|banner|unit|wrapper|container))?", re.I)
+BOXES = frozenset("div section aside ul ol ins figure".split())
+
+
 def is_noise(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds no article text. inside: within an article or main element."""
+    """Whether an element holds no article text. inside: in the article's slot, or within an article or main element."""
     if name in NEVER or (name == "header" and not inside):
         return True
-    if "=" not in attrs or name in ("html", "body", "main"):
+    if "=" not in attrs or name in ("html", "body", "main", "article"):
         return False
+    if inside:
+        if name not in BOXES:
+            return False
+        names = [x for m in ATTR.finditer(attrs) if m[1].lower() != "role" for x in (m[2] or m[3] or m[4] or "").split()]
+        return bool(names) and all(BOX.fullmatch(x) for x in names)
     words = set()
     for m in ATTR.finditer(attrs):
         words.update(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()))
     found = words & NOISE
-    if inside:
-        found -= {"header"}
-    return bool(found) and (not words & CONTENT or bool(found & {"comment", "comments", "sidebar", "footer"} and name not in ("article", "section") and not words & {"main", "article", "wrapper", "container", "page"}))
+    return bool(found) and (not words & CONTENT or bool(found & {"comment", "comments", "sidebar", "footer"} and name != "section" and not words & {"main", "article", "wrapper", "container", "page"}))
 
 
-def page_blocks(page: str, labelled: bool = True) -> tuple[list[tuple[str, str]], dict[str, int], set[int]]:
-    """The blocks as (place, text), how often each place occurs, and which blocks are headings. labelled: without blocks that their elements or classes mark as noise."""
-    blocks: list[tuple[str, str]] = []
+ROOT = b""
+
+
+def page_blocks(page: str, labelled: bool = True, main: bytes | None = None) -> tuple[list[tuple[bytes, str]], dict[bytes, list], set[int], list[bool]]:
+    """The blocks as (place, text); for each place how often it occurs, its parent, its depth and whether it lies inside an article; which blocks are headings; which lie in the slot main. labelled: without blocks that their elements or classes mark as noise."""
+    blocks: list[tuple[bytes, str]] = []
     heads: set[int] = set()
-    places: dict[str, int] = {}
-    stack: list[tuple[str, str, bool, bool]] = []  # name, place, noise, inside an article
-    place, noise, inside, held, at = "", False, False, [], 0
+    own: list[bool] = []
+    places: dict[bytes, list] = {}
+    stack: list[tuple] = []  # name, and the state before it: place, depth, noise, inside article or main, inside article, in the slot
+    opened: dict[str, int] = {}  # elements on the stack, by name
+    place, depth, noise, inside, article, slot, held, at = ROOT, 0, False, False, False, False, [], 0
 
     def flush():
         if held:
@@ -91,13 +112,20 @@ def page_blocks(page: str, labelled: bool = True) -> tuple[list[tuple[str, str]]
                 if stack and stack[-1][0] in HEADINGS:
                     heads.add(len(blocks))
                 blocks.append((place, text))
+                own.append(slot)
             held.clear()
 
+    def push(name):
+        stack.append((name, place, depth, noise, inside, article, slot))
+        opened[name] = opened.get(name, 0) + 1
+
     def pop(k):
-        nonlocal place, noise, inside
+        nonlocal place, depth, noise, inside, article, slot
         if stack[k][0] not in INLINE:  # of those only noise is here, and it doesn't end a block
             flush()
-        _, place, noise, inside = stack[k]
+        _, place, depth, noise, inside, article, slot = stack[k]
+        for x in stack[k:]:
+            opened[x[0]] -= 1
         del stack[k:]
 
     for m in TOKEN.finditer(page):
@@ -109,24 +137,21 @@ def page_blocks(page: str, labelled: bool = True) -> tuple[list[tuple[str, str]]
             continue
         name = name.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
+            if opened.get(name):
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            elif name not in INLINE:
+                flush()
             continue
         if name in INLINE:
             if name == "br" or name == "img":
                 held.append(" ")
-            elif labelled and not m["attrs"].endswith("/") and is_noise(name, m["attrs"], inside):
-                stack.append((name, place, noise, inside))
+            elif labelled and not m["attrs"].endswith("/") and is_noise(name, m["attrs"], inside or slot):
+                push(name)
                 noise = True
             continue
         flush()
         closes = CLOSED_BY.get(name) or (frozenset(["p"]) if name not in VOID else None)
-        if closes:
+        if closes and any(opened.get(x) for x in closes):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CONTAINERS and stack[k][0] not in closes:
                     break
@@ -135,45 +160,49 @@ def page_blocks(page: str, labelled: bool = True) -> tuple[list[tuple[str, str]]
                     break
         if name in VOID or m["attrs"].endswith("/"):
             continue
-        stack.append((name, place, noise, inside))
-        noise = noise or (labelled and is_noise(name, m["attrs"], inside))
-        inside = inside or name in ("article", "main")
+        push(name)
+        noise = noise or (labelled and is_noise(name, m["attrs"], inside or slot))
         if name in CONTAINERS and not noise:
             first = next((x[2] or x[3] or x[4] or "" for x in ATTR.finditer(m["attrs"]) if x[1].lower() == "class"), "").split()
-            place = f"{place}/{name}" + (f".{first[0]}" if first else "")
-            places[place] = places.get(place, 0) + 1
+            parent, place, depth = place, xxhash.xxh3_128_digest(place + f"/{name}{'.' + first[0] if first else ''}".encode(errors="replace")), depth + 1
+            places.setdefault(place, [0, parent, depth, article])[0] += 1
+            slot = slot or place == main
+        inside = inside or name in ("article", "main")
+        article = article or name == "article"
     if not noise and at < len(page):
         held.append(page[at:])
     flush()
-    return blocks, places, heads
+    return blocks, places, heads, own
 
 
-def _hash(kind: str, value: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{kind}\0{value}".encode())
+def _hash(kind: str, value: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(kind.encode() + b"\0" + value)
 
 
 def page_tokens(pages: DataFrame, labelled: bool = True) -> DataFrame:
-    """host, token, place, is_text, and summed over the host's pages: pages and total (occurrences), signature, chars and heads (of texts: characters, and headings)."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("place", pa.string()), ("is_text", pa.bool_()), *((c, pa.int64()) for c in ("pages", "total", "signature", "chars", "heads"))])
+    """host, token, place, is_text, of places also parent, depth and inside (an article), and summed over the host's pages: pages and total (occurrences), signature, chars and heads (of texts: characters, and headings)."""
+    keys = [("host", pa.string()), ("token", pa.int64()), ("place", pa.binary()), ("is_text", pa.bool_()), ("parent", pa.binary()), ("depth", pa.int64()), ("inside", pa.bool_())]
+    schema = pa.schema([*keys, *((c, pa.int64()) for c in ("pages", "total", "signature", "chars", "heads"))])
 
     def tokens(batches):
         sums: dict[tuple, list[int]] = {}
 
         def out():
-            keys, cols = list(zip(*sums)), list(zip(*sums.values()))
+            by, cols = list(zip(*sums)), list(zip(*sums.values()))
             signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            keys[1], cols[2] = signed(keys[1]), signed(cols[2])
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(keys + cols, schema)], schema=schema)
+            by[1], cols[2] = signed(by[1]), signed(cols[2])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(by + cols, schema)], schema=schema)
             sums.clear()
             return batch
 
         for batch in batches:
             for i, url, host, page in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "host", "html"))):
-                blocks, places, heads = page_blocks(page or "", labelled)
-                r = _hash("page", f"{i} {url}")
-                here: dict[tuple, list[int]] = {(_hash("place", p), p, False): [n, 0, 0] for p, n in (places | {"": 1}).items()}
+                blocks, places, heads, _ = page_blocks(page or "", labelled)
+                r = _hash("page", f"{i} {url}".encode(errors="replace"))
+                here: dict[tuple, list[int]] = {(_hash("place", p), p, False, parent, depth, inside): [n, 0, 0] for p, (n, parent, depth, inside) in places.items()}
+                here[_hash("place", ROOT), ROOT, False, None, 0, False] = [1, 0, 0]
                 for k, (place, text) in enumerate(blocks):
-                    t = here.setdefault((_hash("text", f"{place}\0{text}"), place, True), [0, 0, 0])
+                    t = here.setdefault((_hash("text", place + b"\0" + text.encode(errors="replace")), place, True, None, None, None), [0, 0, 0])
                     t[0] += 1
                     t[1] += len(text)
                     t[2] += k in heads
@@ -189,11 +218,11 @@ def page_tokens(pages: DataFrame, labelled: bool = True) -> DataFrame:
         if sums:
             yield out()
 
-    rows = pages.mapInArrow(tokens, "host string, token bigint, place string, is_text boolean, pages bigint, total bigint, signature bigint, chars bigint, heads bigint")
+    rows = pages.mapInArrow(tokens, "host string, token bigint, place binary, is_text boolean, parent binary, depth bigint, inside boolean, pages bigint, total bigint, signature bigint, chars bigint, heads bigint")
     # signatures add modulo 2 ** 64: as two halves, which do not overflow
     halves = [F.sum(F.expr("signature & 4294967295L")).alias("low"), F.sum(F.expr("shiftrightunsigned(signature, 32)")).alias("high")]
     return (
-        rows.groupBy("host", "token", "place", "is_text")
+        rows.groupBy("host", "token", "place", "is_text", "parent", "depth", "inside")
         .agg(*[F.sum(c).alias(c) for c in ("pages", "total", "chars", "heads")], *halves)
         .withColumn("signature", F.expr("struct(low & 4294967295L as low, (high + shiftrightunsigned(low, 32)) & 4294967295L as high)"))
         .drop("low", "high")
@@ -212,20 +241,26 @@ def templates(tokens: DataFrame, *, support: float = 0.95, held_text: float = 0.
     tokens = materialize(tokens, "tokens")
     texts = tokens.where("is_text").select("host", "place", "chars", "heads", F.col("chars").alias("left"), F.col("heads").alias("left_heads"))
     fixed = template_texts(tokens, **classes).select("host", "place", F.lit(0).alias("chars"), F.lit(0).alias("heads"), (-F.col("chars")).alias("left"), (-F.col("heads")).alias("left_heads"))
-    sums = [F.sum(c).alias(c) for c in ("chars", "heads", "left", "left_heads")]
+    values = ["chars", "heads", "left", "left_heads"]
+    sums = [F.sum(c).alias(c) for c in values]
     direct = texts.union(fixed).groupBy("host", "place").agg(*sums)
-    # every place holds what lies at and below it
-    steps = F.expr("transform(sequence(1, size(split(place, '/'))), k -> array_join(slice(split(place, '/'), 1, k), '/'))")
-    held = direct.withColumn("place", F.explode(steps)).groupBy("host", "place").agg(*sums)
-    frames = tokens.where("not is_text").select("host", "place", "pages", "total").join(held, ["host", "place"], "left").na.fill(0, ["chars", "heads", "left", "left_heads"])
+    at = lambda place: F.unhex(F.md5(F.concat(F.col("host").cast("binary"), F.lit(b"/"), F.col(place))))
+    frames = tokens.where("not is_text").join(direct.drop("is_text"), ["host", "place"], "left").select(
+        at("place").alias("key"), F.when(F.col("depth") > 0, at("parent")).alias("parent"), "host", "place", "depth", "inside", "pages", "total", *[F.coalesce(direct[c], F.lit(0)).cast("bigint").alias(c) for c in values]
+    )
     frames = materialize(frames, "frames")
-    root = frames.where("place = ''").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"), F.col("left").alias("all_left"), F.col("left_heads").alias("all_heads"))
+    # every place holds what lies at and below it
+    held = frames.select("key", *values)
+    for more in rolled_up(frames, values):
+        held = held.unionByName(more)
+    frames = materialize(frames.drop(*values).join(held.groupBy("key").agg(*sums), "key"), "held")
+    root = frames.where("depth = 0").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"), F.col("left").alias("all_left"), F.col("left_heads").alias("all_heads"))
     slots = frames.join(checked_broadcast(materialize(root, "roots"), max_broadcast), "host").where((F.col("pages") >= support * F.col("n")) & (F.col("total") == F.col("pages")))
-    slots = slots.where(~F.col("place").rlike(r"/article(\.[^/]*)?/"))
+    slots = slots.where("not inside")
     told = F.col("all_left") >= least_left * F.col("all_chars")
     by_left = (F.col("left") >= held_text * F.col("all_left")) & (F.col("chars") >= least_text * F.col("all_chars")) & (F.col("left_heads") >= held_text * F.col("all_heads"))
     slots = slots.where(F.when(told, by_left).otherwise(F.col("chars") >= F.col("all_chars")))
-    main = slots.groupBy("host").agg(F.max_by("place", F.struct(F.length(F.regexp_replace("place", "[^/]", "")), "place")).alias("main"))
+    main = slots.groupBy("host").agg(F.max_by("place", F.struct("depth", "place")).alias("main"))
     return materialize(main, "templates")
 
 
@@ -239,12 +274,8 @@ def extract_text(pages: DataFrame, *, max_broadcast: int = 20_000, labelled: boo
         for batch in batches:
             texts, n_blocks = [], []
             for page, main in zip(*(batch[c].to_pylist() for c in ("html", "main"))):
-                blocks, places, _ = page_blocks(page or "", labelled)
-                if main and places.get(main):
-                    own = [x for x in blocks if x[0] == main or x[0].startswith(main + "/")]
-                else:
-                    own = blocks
-                own = [t for _, t in own]
+                blocks, places, _, inner = page_blocks(page or "", labelled, main)
+                own = [t for (_, t), x in zip(blocks, inner) if x or not main or main not in places]
                 texts.append("\n".join(own))
                 n_blocks.append(len(own))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_blocks, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
