@@ -7,8 +7,14 @@ of every benchmark item is then binary-searched in every shard: its neighbours
 in the array tell the longest match, and where that reaches ``window`` words, two
 more binary searches give the range of all places that share as much. The match
 at each place runs to the first word that differs; a match that also agrees in
-the word before it is part of a longer one and is left to that. The benchmark is
-the stated query set: it goes to the executors in blocks of at most
+the word before it is part of a longer one and is left to that.
+
+What a document is removed by needs no list of all those pairs of places: the
+suffixes that share a window have one range of places, their items are one set
+that is kept once however many places it has, and the longest match at a place
+is with one of its two neighbours among the sorted suffixes of the items. So a
+stem of thousands of items costs its places and its items, not their product.
+The benchmark is the stated query set: it goes to the executors in blocks of at most
 ``block_words`` words, so memory is bounded by a block and a shard, and nothing
 is shuffled.
 
@@ -40,6 +46,7 @@ from siglake.llm.common import materialize
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 HITS = "array<struct<start:int,n:int,item_id:string,item_start:int>>"
+SPANS = "struct<spans:array<struct<start:int,n:int>>,items:array<string>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -81,15 +88,15 @@ class Block:
         self.item_of = np.repeat(np.arange(len(texts)), sizes + 1)
         self.start_of = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
         at, size = np.arange(len(self.ids)) - self.start_of, np.repeat(sizes, sizes + 1)
+        self.window = window
         self.need = np.minimum(size, window)  # words a match must have
         self.suffixes = np.flatnonzero(at + self.need <= size)
         self.longest, self.least = int(sizes.max(initial=0)), int(sizes.clip(max=window).min(initial=window))
 
-    def search(self, docs: list[np.ndarray]) -> list[list[tuple]]:
-        """For each document of a shard its longest matches (start, length, item, start in the item)."""
-        out: list[list[tuple]] = [[] for _ in docs]
+    def ranges(self, docs: list[np.ndarray]):
+        """The suffix array of a shard, and for each item suffix whose first words stand in it the range of their places."""
         if not docs or not len(self.ids):
-            return out
+            return None
         starts = np.cumsum([1] + [len(x) + 1 for x in docs])
         ids = np.zeros(starts[-1], np.int64)
         for at, x in zip(starts, docs):
@@ -99,7 +106,7 @@ class Block:
         ids[np.repeat(runs < self.least, runs + 1)] = 0
         place = np.flatnonzero((ids != 0) | np.append(True, ids[:-1] != 0))  # one gap for each stretch without a match
         if len(place) < 2:
-            return out
+            return None
         both = np.concatenate([ids[place], self.ids[-1:], self.ids])
         levels, shift = prefix_ranks(both, self.longest + 1), len(place) + 1
         known = np.flatnonzero(both[: len(place)])
@@ -119,12 +126,25 @@ class Block:
             return lo
 
         first, end = bound(np.zeros_like(at), at, False), bound(at, np.full_like(at, len(array)), True)
+        return starts, place, both, levels, array, suffixes, need, first, end, shift
+
+    def parts(self, array: np.ndarray, first: np.ndarray, end: np.ndarray):
+        """(index of the range, place) for all places of all ranges, in parts of about PAIRS."""
         n = end - first
         part = np.cumsum(n) // self.PAIRS
         for k in np.unique(part):
-            mine = part == k
-            q = np.repeat(suffixes[mine], n[mine])
-            p = array[np.repeat(first[mine] - np.cumsum(n[mine]) + n[mine], n[mine]) + np.arange(n[mine].sum())]
+            mine = np.flatnonzero(part == k)
+            m = n[mine]
+            yield np.repeat(mine, m), array[np.repeat(first[mine] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+
+    def search(self, docs: list[np.ndarray]) -> list[list[tuple]]:
+        """For each document of a shard all its longest matches (start, length, item, start in the item)."""
+        out: list[list[tuple]] = [[] for _ in docs]
+        if not (found := self.ranges(docs)):
+            return out
+        starts, place, both, levels, array, suffixes, _, first, end, shift = found
+        for k, p in self.parts(array, first, end):
+            q = suffixes[k]
             whole = both[p - 1] != both[q - 1]
             p, q = p[whole], q[whole]
             size, begin, i = common_words(levels, p, q), place[p], q - shift
@@ -133,6 +153,45 @@ class Block:
                 out[row[0]].append((row[1], row[2], self.items[row[3]], row[4]))
         return out
 
+    def summary(self, docs: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], list[str]]]:
+        """For each document of a shard the longest matches (start, length) that no other holds, and its items, null ones left out."""
+        out: list[tuple[list, list]] = [([], []) for _ in docs]
+        if not (found := self.ranges(docs)):
+            return out
+        starts, place, _, levels, array, suffixes, need, first, end, shift = found
+        if not len(suffixes):
+            return out
+        order = np.lexsort((need, end, first))
+        suffixes, need, first, end = (x[order] for x in (suffixes, need, first, end))
+        new = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(end) != 0) | (np.diff(need) != 0)))
+        sets: dict[bytes, int] = {}
+        set_of = np.array([sets.setdefault(np.unique(self.item_of[x - shift]).tobytes(), len(sets)) for x in np.split(suffixes, new[1:])])
+        need, first, end = need[new], first[new], end[new]
+        least, pairs = np.zeros(len(place), np.int64), np.empty(0, np.int64)  # the longest window at each place; documents and sets
+        for k, p in self.parts(array, first, end):
+            np.maximum.at(least, p, need[k])
+            d = np.searchsorted(starts, place[p], side="right") - 1
+            pairs = np.unique(np.concatenate([pairs, d * len(sets) + set_of[k]]))
+        p = np.flatnonzero(least)
+        items = self.suffixes + shift
+        items = items[np.argsort(levels[-1][items], kind="stable")]
+        at = np.searchsorted(levels[-1][items], levels[-1][p])
+        size = np.maximum(common_words(levels, p, items[np.maximum(at - 1, 0)]), common_words(levels, p, items[np.minimum(at, len(items) - 1)]))
+        size = np.where(size >= self.window, size, least[p])  # items shorter than a window match whole
+        begin = place[p]
+        held = np.append(False, (np.diff(begin) == 1) & (size[:-1] > size[1:]))
+        begin, size = begin[~held], size[~held]
+        d = np.searchsorted(starts, begin, side="right") - 1
+        for k, b, n in zip(d.tolist(), (begin - starts[d]).tolist(), size.tolist()):
+            out[k][0].append((b, n))
+        lists = [np.frombuffer(x, np.int64) for x in sets]
+        d, which = pairs // len(sets), pairs % len(sets)
+        cut = np.flatnonzero(np.diff(d)) + 1
+        for k, x in zip(d[np.append(0, cut)].tolist(), np.split(which, cut)):
+            every = np.unique(np.concatenate([lists[j] for j in x.tolist()]))
+            out[k][1].extend(sorted({self.items[j] for j in every.tolist()} - {None}))
+        return out
+
 
 def blocks(benchmark: DataFrame, window: int, block_words: int):
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator()
@@ -148,13 +207,14 @@ def blocks(benchmark: DataFrame, window: int, block_words: int):
     yield Block(held, window)
 
 
-def find_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 1_000_000, shard_words: int = 400_000, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns named in carry, n_words and hits, the longest verbatim matches with their places, for every document."""
+def find_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 1_000_000, shard_words: int = 400_000, carry: Sequence[str] = ("doc_id",), pairs: bool = True) -> DataFrame:
+    """The columns named in carry, n_words and hits, the longest verbatim matches with their places, for every document. Without pairs, hits are the spans of a document that no other span holds, and its items."""
     spark = documents.sparkSession
     carry = [c for c in carry if c not in ("_text", "n_words", "hits")]
     todo = documents.select(*carry, F.col("text").cast("binary").alias("_text"))
-    schema = StructType([*todo.schema.fields, StructField("n_words", LongType()), StructField("hits", DataType.fromDDL(HITS))])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())]))
+    schema = StructType([*todo.schema.fields, StructField("n_words", LongType()), StructField("hits", DataType.fromDDL(HITS if pairs else SPANS))])
+    span = [("start", pa.int32()), ("n", pa.int32())]
+    kind = pa.list_(pa.struct([*span, ("item_id", pa.string()), ("item_start", pa.int32())])) if pairs else pa.struct([("spans", pa.list_(pa.struct(span))), ("items", pa.list_(pa.string()))])
     first = True
     for block in blocks(benchmark, window, block_words):
         if not first:  # one block at a time is held by the tasks
@@ -169,9 +229,12 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 10
                 for text in shard["_text"]:
                     words = words_of(text.as_py())
                     ids.append(np.fromiter(map(block.vocab.get, words, repeat(0)), dtype=np.uint32, count=len(words)))
-                hits = [[dict(zip(("start", "n", "item_id", "item_start"), x)) for x in found] for found in block.search(ids)]
-                if not first:
-                    hits = [a + b for a, b in zip(shard["hits"].to_pylist(), hits)]
+                if pairs:
+                    hits = [[dict(zip(("start", "n", "item_id", "item_start"), x)) for x in found] for found in block.search(ids)]
+                    hits = hits if first else [a + b for a, b in zip(shard["hits"].to_pylist(), hits)]
+                else:
+                    hits = [{"spans": [{"start": b, "n": n} for b, n in spans], "items": items} for spans, items in block.summary(ids)]
+                    hits = hits if first else [{c: a[c] + b[c] for c in a} for a, b in zip(shard["hits"].to_pylist(), hits)]
                 return pa.RecordBatch.from_arrays([*(shard[c] for c in carry), shard["_text"], pa.array([len(x) for x in ids], pa.int64()), pa.array(hits, kind)], names=[*carry, "_text", "n_words", "hits"])
 
             for batch in batches:
@@ -188,22 +251,23 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 10
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, carry: Sequence[str] = ("doc_id",), **options) -> DataFrame:
-    """The columns named in carry and the digest of find_matches for every document; ``contaminated`` is what to remove by.
+    """The columns named in carry, spans and items of find_matches and their digests for every document; ``contaminated`` is what to remove by.
 
     n_hit counts words inside any match once, by a sweep over the sorted matches."""
     swept = F.expr(
-        "aggregate(array_sort(transform(hits, h -> struct(h.start as s, h.start + h.n as e))), struct(0 as e, 0 as n),"
+        "aggregate(array_sort(transform(hits.spans, h -> struct(h.start as s, h.start + h.n as e))), struct(0 as e, 0 as n),"
         " (a, x) -> struct(greatest(a.e, x.e) as e, a.n + greatest(0, x.e - greatest(a.e, x.s)) as n), a -> cast(a.n as bigint))"
     )
-    items = F.array_sort(F.array_distinct(F.expr("filter(transform(hits, h -> h.item_id), i -> i is not null)")))
+    items = F.array_sort(F.array_distinct("hits.items"))
     added = {
         "n_words": F.col("n_words"),
         "n_hit": swept,
         "n_items": F.size(items).cast("bigint"),
         "items_sha256": F.sha2(F.array_join(items, ","), 256),
-        "contaminated": F.size("hits") > 0,
-        "longest_match": F.coalesce(F.array_max(F.expr("transform(hits, h -> h.n)")), F.lit(0)).cast("bigint"),
-        "hits": F.col("hits"),
+        "contaminated": F.size("hits.spans") > 0,
+        "longest_match": F.coalesce(F.array_max("hits.spans.n"), F.lit(0)).cast("bigint"),
+        "spans": F.col("hits.spans"),
+        "items": items,
     }
     carry = [c for c in carry if c not in added]
-    return find_matches(documents, benchmark, carry=carry, **options).select(*carry, *[v.alias(k) for k, v in added.items()])
+    return find_matches(documents, benchmark, carry=carry, pairs=False, **options).select(*carry, *[v.alias(k) for k, v in added.items()])
