@@ -27,8 +27,29 @@ def methylate(seq: Column) -> Column:
 
 
 def reverse_complement_methylated(seq: Column) -> Column:
-    """Reverse complement in which methylated sites stay methylated."""
-    return methylate(reverse_complement(F.replace(seq, F.lit("MG"), F.lit("CG"))))
+    """Reverse complement in which methylated sites stay methylated, at their place on the other strand, and others stay as they are. An M that ends the sequence is the first half of a site, whose other half is a G."""
+    marked = F.replace(seq, F.lit("MG"), F.lit("12"))
+    return F.reverse(F.translate(marked, "ACGT12M", "TGCAGMG"))
+
+
+#: The bases each ambiguity code stands for.
+SYMBOLS = {"A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT"}
+
+
+def is_valid(seq: Column) -> Column:
+    """Whether all letters are bases or ambiguity codes."""
+    return seq.rlike(f"^[{''.join(SYMBOLS)}]*$")
+
+
+def ambiguous_count(seq: Column) -> Column:
+    return F.length(F.translate(seq, "ACGT", "")).cast("bigint")
+
+
+def expansions(kmer: Column) -> Column:
+    """All sequences that an ambiguous one stands for, in order; none if a letter is no code. Their number is the product over the letters, so give it k-mers."""
+    table = F.create_map(*[x for c, bases in SYMBOLS.items() for x in (F.lit(c), F.array(*[F.lit(b) for b in bases]))])
+    grown = F.aggregate(F.split(kmer, ""), F.array(F.lit("")), lambda a, c: F.flatten(F.transform(a, lambda x: F.transform(F.coalesce(table[c], F.array().cast("array<string>")), lambda s: F.concat(x, s)))))
+    return F.when(kmer == "", F.array(F.lit(""))).otherwise(grown)
 
 
 def dna(seq: Column) -> Column:
@@ -92,6 +113,32 @@ def detect_pore(kit: Column) -> Column:
     return F.when(F.contains(k, F.lit("114")), "r10").when(F.contains(k, F.lit("rna004")), "rna004").otherwise("r9")
 
 
+def detect_run(attributes):
+    """file, rna, pore and warnings of every signal file, from the attributes of its read groups (file, read_group, experiment_type, sequencing_kit).
+
+    Read group 0 decides. Without an experiment type, or with an unknown one, it is DNA; a kit with 114 in its name is r10, with rna004 rna004, any other, or none, r9. What is missing, unknown, or different in another group is a warning."""
+    at0 = lambda c: F.max(F.when(F.col("read_group") == 0, F.col(c)))
+    first = attributes.groupBy("file").agg(at0("experiment_type").alias("experiment"), at0("sequencing_kit").alias("kit"), F.collect_set(F.struct("read_group", "experiment_type", "sequencing_kit")).alias("groups"))
+    differ = lambda own, c: F.exists("groups", lambda g: (g["read_group"] > 0) & own.isNotNull() & ~g[c].eqNullSafe(own))
+    experiment, kit = F.col("experiment"), F.col("kit")
+    said = F.array(
+        F.when(experiment.isNull(), "no experiment type"), F.when(~experiment.isin("genomic_dna", "rna"), "unknown experiment type"), F.when(differ(experiment, "experiment_type"), "experiment types differ"),
+        F.when(kit.isNull(), "no sequencing kit"), F.when(differ(kit, "sequencing_kit"), "sequencing kits differ"),
+    )
+    pore = F.when(F.contains(kit, F.lit("114")), "r10").when(F.contains(kit, F.lit("rna004")), "rna004").otherwise("r9")
+    return first.select("file", F.coalesce(experiment == "rna", F.lit(False)).alias("rna"), pore.alias("pore"), F.array_compact(said).alias("warnings"))
+
+
+def reversed_events(events: Column) -> Column:
+    """Events of RNA, which goes through the pore from its end, in the order of the sequence."""
+    return F.reverse(events)
+
+
+def reversed_map(ranges: Column) -> Column:
+    """k-mers' ranges of events (start, stop) in the opposite order of k-mers, each from its other end."""
+    return F.transform(F.reverse(ranges), lambda r: F.struct(r["stop"].alias("start"), r["start"].alias("stop")))
+
+
 def is_label(name: Column) -> Column:
     return name.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
 

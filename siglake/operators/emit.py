@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglake.functions.signal import standardised_level
-from siglake.operators.frequency import formatted
+from siglake.operators.frequency import formatted, let
+from siglake.operators.signals import collapse_raw
 
 #: Column names of the tables.
 EVENTALIGN = "contig position reference_kmer read_name strand event_index event_level_mean event_stdv event_length model_kmer model_mean model_stdv standardized_level".split()
@@ -35,12 +36,67 @@ def _joined(order: str, piece: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, piece))), lambda x: x[piece]), "")
 
 
-def event_rows(rows: DataFrame, signal_index: bool = False) -> DataFrame:
-    """Event alignments as lines of the table: contig, position, reference_kmer, read_name, event_index, level, stdv, duration (seconds), model_kmer, model_mean, model_stdv, var; start_idx and end_idx if asked for."""
+def general(value: Column) -> Column:
+    """C's %g of a single-precision value: six significant digits without trailing zeros, with an exponent from 10 ** 6 on and below 10 ** -4.
+
+    A single's 24 bits times a power of ten up to 10 ** 9, which has 21 besides its twos, are exact in a double, so rounding to six digits is. Beyond that, with an exponent, the power is off by a double's error."""
+    x = value.cast("float").cast("double")
+    size = F.abs(x)
+    decade = F.when((size >= 1e6) | (size < 1e-4), F.floor(F.log10(size)).cast("int"))
+    for e in range(5, -5, -1):
+        decade = decade.when(size >= 10.0**e, e)
+
+    def text(r):
+        n, e = r["n"], r["e"]
+        n, e = F.when(n == 1_000_000, 100_000).otherwise(n), F.when(n == 1_000_000, e + 1).otherwise(e)
+        plain = (e >= -4) & (e < 6)
+        # six digits with the point behind the first, or where the number has it
+        digits = F.concat(F.repeat(F.lit("0"), F.when(plain, F.greatest(-e, F.lit(0))).otherwise(0)), n.cast("string"))
+        ahead = F.when(plain, F.greatest(e, F.lit(0)) + 1).otherwise(1)
+        number = F.regexp_replace(F.concat(F.substring(digits, F.lit(1), ahead), F.lit("."), F.substring(digits, ahead + 1, F.lit(20))), r"[.]?0*$", "")
+        mark = F.when(plain, "").otherwise(F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0")))
+        return F.concat(F.when(r["x"] < 0, "-").otherwise(""), number, mark)
+
+    held = lambda e: F.struct(x.alias("x"), e.alias("e"), F.rint(F.when(e <= 5, size * F.pow(F.lit(10.0), 5 - e)).otherwise(size / F.pow(F.lit(10.0), e - 5))).cast("bigint").alias("n"))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(let(decade, lambda e: let(held(e), text)))
+
+
+def scaled_to_model(rows: DataFrame, scale_events: bool) -> DataFrame:
+    """Levels in units of the model (scale_events), or the model in units of the read. rows: level, model_mean, model_stdv, hmm_state, shift, scale, var. In state B there is no model: zeros."""
+    blank = F.col("hmm_state") == "B"
+    if scale_events:
+        mean, stdv = F.col("model_mean"), F.col("model_stdv")
+        rows = rows.withColumn("level", (F.col("level") - F.col("shift")) / F.col("scale"))
+    else:
+        mean, stdv = F.col("scale") * F.col("model_mean") + F.col("shift"), F.col("model_stdv") * F.col("var")
+    return rows.withColumns({"model_mean": F.when(blank, 0.0).otherwise(mean), "model_stdv": F.when(blank, 0.0).otherwise(stdv)})
+
+
+def event_lines(rows: DataFrame, signals: DataFrame, scalings: DataFrame, model: DataFrame, order: str = "i", collapse: bool = False, scale_events: bool = False, signal_index: bool = False, samples: bool = False) -> DataFrame:
+    """read_id, island and line: the table of event alignments, from pairs, signals and model to text.
+
+    rows: read_id, order, contig, ref_pos, ref_kmer, read_name, event_index, model_kmer, hmm_state, and the event's start, length, mean and stdv; signals: read_id, samples, sample_rate; scalings: read_id, shift, scale, var; model: model_kmer, model_mean, model_stdv, one row a k-mer, so it is broadcast. Reads without a signal have no lines. Lines stand in order by read and island."""
+    first = ("contig", "ref_kmer", "read_name", "event_index", "model_kmer", "hmm_state")
+    d = collapse_raw(rows, signals, order, first, cut=True, join=collapse).join(scalings, "read_id").join(F.broadcast(model), "model_kmer", "left")
+    d = scaled_to_model(d.withColumnRenamed("mean", "level"), scale_events)
+    if samples:
+        text = F.array_join(F.transform("part", lambda x: general((x - F.col("shift")) / F.col("scale"))), ",")
+        d = d.withColumn("samples", text)
+    d = d.withColumnsRenamed({"ref_pos": "position", "ref_kmer": "reference_kmer"})
+    return event_rows(d, signal_index, samples, ("read_id", "island"))
+
+
+def event_rows(rows: DataFrame, signal_index: bool = False, samples: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Event alignments as lines of the table: contig, position, reference_kmer, read_name, event_index, level, stdv, duration (seconds), model_kmer, model_mean, model_stdv, var; start_idx and end_idx, and samples (a text), if asked for. keep: columns that stay beside the line."""
     z = standardised_level(F.col("level"), F.col("model_mean"), F.col("model_stdv"), F.col("var"))
-    numbers = [printed(F.col(c).cast("double"), n) for c, n in (("level", 2), ("stdv", 3), ("duration", 5))]
-    model = [printed(F.col(c).cast("double"), 2) for c in ("model_mean", "model_stdv")]
-    return rows.select(_line("contig", "position", "reference_kmer", "read_name", F.lit("t"), "event_index", *numbers, "model_kmer", *model, printed(z, 2), *(INDEXED if signal_index else [])).alias("line"))
+    more = (INDEXED if signal_index else []) + (["samples"] if samples else [])
+    digits = {"level": 2, "stdv": 3, "duration": 5, "model_mean": 2, "model_stdv": 2, "z": 2}
+    texts = ["contig", "position", "reference_kmer", "read_name", "event_index", "model_kmer", *more]
+    # numbers first, as printing names each many times
+    d = rows.withColumn("z", z).select(*keep, *[c for c in texts if c not in keep], *[F.col(c).cast("double").alias(f"_{c}") for c in digits])
+    number = {c: printed(F.col(f"_{c}"), n) for c, n in digits.items()}
+    cells = ["contig", "position", "reference_kmer", "read_name", F.lit("t"), "event_index", *[number[c] for c in ("level", "stdv", "duration")], "model_kmer", *[number[c] for c in ("model_mean", "model_stdv", "z")], *more]
+    return d.select(*keep, _line(*cells).alias("line"))
 
 
 def m6anet_rows(positions: DataFrame, signal_index: bool = False) -> DataFrame:

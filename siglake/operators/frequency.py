@@ -103,17 +103,26 @@ def ordered(freq: DataFrame) -> DataFrame:
     return freq.orderBy("chromosome", "start", "end")
 
 
+def let(value: Column, body) -> Column:
+    """body over value, which is computed once; a value named many times would be as many copies of its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def formatted(value: Column, digits: int) -> Column:
-    """C's %.nf for absolute values under 10 ** 9 and up to 6 digits: the exact binary value, half to even.
+    """C's %.nf for absolute values under 10 ** 9 and up to 6 digits, or under 1 and up to 9: the exact binary value, half to even.
 
     The part before the point stands apart. What is behind it is, in units of 2 ** -30, a whole number, of which the product with 10 ** n is an exact bigint, and a rest. The rest times 10 ** n is under 10 ** n of these units and decides only ties, which it does exactly: a double's distance from a tie is far above the error of one product."""
     scale, unit = 10**digits, 1 << 30
-    size = F.abs(value.cast("double"))
-    before = F.floor(size).cast("bigint")
-    part = (size - before) * unit
-    whole = F.floor(part).cast("bigint")
-    n = before * scale + F.shiftright(whole * scale, 30)
-    over = (whole * scale).bitwiseAND(unit - 1) - unit // 2 + (part - whole) * scale
-    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
-    text = F.concat(F.when(value < 0, "-").otherwise(""), ((n - n % scale) / scale).cast("bigint").cast("string"), F.lit("." if digits else ""), F.lpad((n % scale).cast("string"), digits, "0") if digits else F.lit(""))
-    return F.when(F.isnan(value), "nan").otherwise(text)
+
+    def rounded(x):
+        before = F.floor(x["size"])
+        part = (x["size"] - before) * unit
+        whole = F.floor(part)
+        return F.struct((before * scale + F.shiftright(whole * scale, 30)).alias("n"), ((whole * scale).bitwiseAND(unit - 1) - unit // 2 + (part - whole) * scale).alias("over"))
+
+    def text(r):
+        n = r["n"] + F.when((r["over"] > 0) | ((r["over"] == 0) & (r["n"] % 2 == 1)), 1).otherwise(0)
+        return let(n, lambda n: F.concat(((n - n % scale) / scale).cast("bigint").cast("string"), F.lit("." if digits else ""), F.lpad((n % scale).cast("string"), digits, "0") if digits else F.lit("")))
+
+    shown = let(F.struct(F.abs(value.cast("double")).alias("size")), lambda x: let(rounded(x), text))
+    return F.when(F.isnan(value), "nan").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), shown))

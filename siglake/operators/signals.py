@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siglake.operators.events import _islands
+
 #: Bits of the filter; 2 ** 19 words of 64 bits at most, 8 MB broadcast, whatever the number of ids.
 FILTER_BITS = 25
 SEEDS = (1, 2)
@@ -49,20 +51,21 @@ def with_signals(rows: DataFrame, signals: DataFrame, on_missing: str = "skip")
     return out.withColumn("samples", F.when(F.col("samples").isNull(), missing).otherwise(F.col("samples")))
 
 
-def collapse_raw(rows: DataFrame, signals: DataFrame, order: str = "i") -> DataFrame:
-    """Runs of consecutive rows at one position as one row, measured anew on the signal.
+FIRST = ("event_index", "model_kmer")
 
-    rows: read_id, order, ref_pos, event_index, model_kmer, start and length (samples of the event), mean and stdv; signals: read_id, samples, sample_rate. A run of one row keeps its event's mean and deviation. One of several gets those of all samples from where its first or last event starts, whichever is earlier, to where the first or last ends; index and k-mer are those of its first row. The runs of a read lie in one row beside its signal, so the signal is joined once; runs hardly overlap, so the sums are linear in its length."""
-    from siglake.operators.events import _islands
 
-    stop = F.col("start") + F.col("length")
-    r = _islands(rows.withColumn("stop", stop), "read_id", order)
-    first, last = (lambda c: F.min_by(c, order)), (lambda c: F.max_by(c, order))
+def collapse_raw(rows: DataFrame, signals: DataFrame, order: str = "i", first: tuple[str, ...] = FIRST, cut: bool = False, join: bool = True) -> DataFrame:
+    """Runs of consecutive rows at one position as one row, measured anew on the signal.
+
+    rows: read_id, order, ref_pos, the columns named in first, start and length (samples of the event), mean and stdv; signals: read_id, samples, sample_rate. A run of one row keeps its event's mean and deviation. One of several gets those of all samples from where its first or last event starts, whichever is earlier, to where the first or last ends; the columns of first are those of its first row. cut: also part, the samples of the run. join: rows of one position become one; else every row stays, measured as it was. The runs of a read lie in one row beside its signal, so the signal is joined once; runs hardly overlap, so the sums are linear in its length."""
+    r = rows.withColumn("stop", F.col("start") + F.col("length"))
+    r = _islands(r, "read_id", order) if join else r.withColumn("island", F.col(order))
+    head, last = (lambda c: F.min_by(c, order)), (lambda c: F.max_by(c, order))
     runs = r.groupBy("read_id", "island", "ref_pos").agg(
-        first("event_index").alias("event_index"), first("model_kmer").alias("model_kmer"), F.count("*").alias("n"), first("mean").alias("mean"), first("stdv").alias("stdv"),
-        F.least(first("start"), last("start")).alias("start_idx"), F.greatest(first("stop"), last("stop")).alias("end_idx"),
+        *[head(c).alias(c) for c in first], F.count("*").alias("n"), head("mean").alias("mean"), head("stdv").alias("stdv"),
+        F.least(head("start"), last("start")).alias("start_idx"), F.greatest(head("stop"), last("stop")).alias("end_idx"),
     )
-    held = runs.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("island", "ref_pos", "event_index", "model_kmer", "n", "mean", "stdv", "start_idx", "end_idx"))).alias("runs"))
+    held = runs.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("island", "ref_pos", *first, "n", "mean", "stdv", "start_idx", "end_idx"))).alias("runs"))
     joined = with_signals(held, signals)
     span = lambda x: F.slice("samples", (x["start_idx"] + 1).cast("int"), (x["end_idx"] - x["start_idx"]).cast("int"))
 
@@ -72,8 +75,11 @@ def collapse_raw(rows: DataFrame, signals: DataFrame, order: str = "i") -> DataF
         mean = F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / F.size(part)
         moments = F.get(F.transform(F.array(mean), lambda m: F.struct(m.alias("mean"), F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(part)).alias("stdv"))), F.lit(0))
         own = F.struct(x["mean"].cast("double").alias("mean"), x["stdv"].cast("double").alias("stdv"))
-        return F.struct(x.alias("x"), F.when((x["n"] > 1) & (x["end_idx"] > x["start_idx"]), moments).otherwise(own).alias("m"))
+        return F.struct(x.alias("x"), F.when((x["n"] > 1) & (x["end_idx"] > x["start_idx"]), moments).otherwise(own).alias("m"), *([part.alias("part")] if cut else []))
 
     out = joined.select("read_id", "sample_rate", F.explode(F.transform("runs", measured)).alias("r"))
     x = F.col("r.x")
-    return out.select("read_id", *[x[c].alias(c) for c in ("ref_pos", "event_index", "model_kmer", "start_idx", "end_idx")], F.col("r.m.mean").alias("mean"), F.col("r.m.stdv").alias("stdv"), ((x["end_idx"] - x["start_idx"]) / F.col("sample_rate")).alias("duration"))
+    return out.select(
+        "read_id", *[x[c].alias(c) for c in ("ref_pos", *first, "start_idx", "end_idx")], F.col("r.m.mean").alias("mean"), F.col("r.m.stdv").alias("stdv"),
+        ((x["end_idx"] - x["start_idx"]) / F.col("sample_rate")).alias("duration"), *([x["island"].alias("island"), F.col("r.part").alias("part")] if cut else []),
+    )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siglake.operators import frequency as Q
 from siglake.operators import run as run_
-from siglake.plans.registry import ALN, CALLS, FREQ, ORACLES, READS, query
+from siglake.plans.registry import CALLS, FREQ, ORACLES, READS, _compared, query
 from siglake.plans.views import view
 from siglake.sources import layout, tables
 from siglake.sources.lines import numbered_lines
@@ -129,3 +129,45 @@ def length_groups(spark, sf):
 def first_bases(spark, sf):
     """The first reads of up to 100,000 bases together."""
     return layout.take_bases(view(spark, sf, "reads"), 100_000).select("read_id", F.length("seq").cast("bigint").alias("n"))
+
+
+_bed = f"""SELECT chromosome, start - back AS start, CAST(sum(coverage) AS BIGINT) AS depth, CAST(sum(CAST(trunc((percent / 100) * coverage) AS BIGINT)) AS BIGINT) AS methylated
+ FROM (SELECT chromosome, start, CASE WHEN strand = '-' THEN 1 ELSE 0 END AS back, num_motifs * 7 AS coverage, CAST(row_no % 101 AS DOUBLE) AS percent FROM {CALLS}) GROUP BY ALL"""
+
+
+@query(
+    f"""WITH b AS ({_bed}), f AS ({FREQ.format(calls=CALLS)}),
+ j AS (SELECT f.chromosome, f.start, f.called_sites, f.methylated_frequency, b.depth, b.methylated / b.depth::DOUBLE AS frequency FROM f JOIN b ON f.chromosome = b.chromosome AND f.start = b.start AND f."end" = b.start WHERE f.num_motifs_in_group = 1 AND called_sites > 0 AND depth > 0)
+ SELECT row_number() OVER (ORDER BY chromosome, start) AS line_no, concat_ws(chr(9), concat(chromosome, ':', start, '-', start), called_sites, printf('%.4f', methylated_frequency), depth, printf('%.4f', frequency)) AS line FROM j
+ UNION ALL SELECT 0, concat_ws(chr(9), 'key', 'depth_1', 'frequency_1', 'depth_2', 'frequency_2')"""
+)
+def bedmethyl_compare_text(spark, sf):
+    """A bedMethyl file against frequencies, as the lines of the comparison; the file is read with its white space."""
+    calls, path, out = view(spark, sf, "methcalls"), shared_folder(spark, "bedmethyl"), shared_folder(spark, "compared")
+    cells = ["chromosome", "start", "start + 1", "'m'", "1000", "strand", "start", "start + 1", "'255,0,0'", "num_motifs * 7", "row_no % 101"]
+    calls.selectExpr(f"concat_ws('  ', {', '.join(cells)}) as line").write.text(path)
+    sites = Q.accumulate_bedmethyl(tables.read_bedmethyl(spark, path))
+    second = sites.selectExpr("chromosome", "start", "end", "1 as num_motifs_in_group", "depth as called_sites", "methylated / depth as methylated_frequency").where("called_sites > 0")
+    tables.write_compared(Q.compare_frequencies(Q.site_frequency(calls), second), out, partitions=3)
+    return numbered_lines(spark, out).select(F.col("row_no").alias("line_no"), F.col("value").alias("line"))
+
+
+@query(f"""WITH h AS (SELECT bin_1, bin_2, n FROM ({ORACLES["freq_hist2d"]})) SELECT bin_1, bin_2, n, round(log10(n), 6) AS fill FROM h""")
+def freq_hist2d_log(spark, sf):
+    """The heat map of the comparison, with the logarithm that colours it."""
+    return Q.histogram_2d(_compared(spark, sf)).withColumn("fill", F.round(F.log10("n"), 6))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS read_id, concat('/a/', o_custkey) AS path, 0 AS k FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, concat('/b/', o_custkey), 1 FROM orders WHERE o_orderkey % 3 > 0),
+ m AS (SELECT read_id, arg_max(path, (k, path)) AS path FROM a GROUP BY read_id)
+ SELECT row_number() OVER (ORDER BY read_id::VARCHAR) - 1 AS line_no, concat(read_id, chr(9), path) AS line FROM m"""
+)
+def read_index_merged(spark, sf):
+    """Two indexes of reads, written apart, as one sorted by read; a read of both has the second's path."""
+    o, paths, out = spark.read.parquet(f"{sf}/orders.parquet"), [shared_folder(spark, f"index{k}") for k in range(2)], shared_folder(spark, "index")
+    for k, (where, path) in enumerate(zip(("o_orderkey % 3 < 2", "o_orderkey % 3 > 0"), paths)):
+        rows = o.where(where).groupBy("o_orderkey").agg(F.max(F.concat(F.lit(f"/{'ab'[k]}/"), "o_custkey")).alias("path"))
+        tables.write_read_index(rows.select(F.col("o_orderkey").cast("string").alias("read_id"), "path"), path)
+    tables.merge_read_indexes(spark, paths, out)
+    return numbered_lines(spark, out).select(F.col("row_no").alias("line_no"), F.col("value").alias("line"))

@@ -3,6 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siglake.functions import signal as S
+from siglake.operators import emit as O
+from siglake.operators import events as E
 from siglake.operators import pairs as P
 from siglake.operators import signals as G
 from siglake.operators import slices as L
@@ -91,3 +94,96 @@ def trimmed_pairs(spark, sf):
         size("kmers").alias("n_kmers"), F.get("kmers", F.size("kmers") - 1)["read_pos"].alias("last_read"), F.col("end_pair").cast("bigint").alias("end_pair"),
         size("inside").alias("n_inside"), size(P.unless_degenerate(mapped)).alias("n_used"),
     )
+
+
+_model = "(SELECT 'ACGTA' AS model_kmer, 70.5::DOUBLE AS model_mean, 2.5::DOUBLE AS model_stdv UNION ALL SELECT 'CGTAC', 60.25, 0.0)"
+_chain = f"""WITH e AS (SELECT *, start + length AS stop, CASE WHEN number % 5 = 4 THEN 'B' ELSE 'M' END AS hmm_state FROM {_events.format(pairs=PAIRS)} JOIN (SELECT DISTINCT read_id AS r FROM {_signals}) ON r = read_id),
+ f AS (SELECT *, CASE WHEN {{fresh}} THEN 1 ELSE 0 END AS fresh FROM e),
+ g AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS island FROM f),
+ r AS (SELECT read_id, island, ref_pos, arg_min(event_index, number) AS event_index, arg_min(model_kmer, number) AS model_kmer, arg_min(hmm_state, number) AS s, count(*) AS n, arg_min(level, number) AS level, arg_min(stdv, number) AS stdv,
+  least(arg_min(start, number), arg_max(start, number)) AS a, greatest(arg_min(stop, number), arg_max(stop, number)) AS z FROM g GROUP BY ALL),
+ p AS (SELECT *, list_slice(samples, a + 1, z) AS part, read_id % 7::DOUBLE AS shift, 1 + read_id % 3 / 4::DOUBLE AS scale, 1.5::DOUBLE AS var FROM r JOIN {_signals} USING (read_id) JOIN {_model} USING (model_kmer)),
+ q AS (SELECT *, CASE WHEN n > 1 THEN list_avg(part) ELSE level END AS x, CASE WHEN n > 1 THEN list_aggregate(part, 'stddev_pop') ELSE stdv END AS sd FROM p),
+ t AS (SELECT *, {{level}} AS l, CASE WHEN s = 'B' THEN 0 ELSE {{mean}} END AS m, CASE WHEN s = 'B' THEN 0 ELSE {{dev}} END AS d FROM q)
+ SELECT concat_ws(chr(9), 'chr1', ref_pos, 'NNNNN', read_id, 't', event_index, printf('%.2f', l), printf('%.3f', sd), printf('%.5f', (z - a) / 1000::DOUBLE), model_kmer, printf('%.2f', m), printf('%.2f', d),
+ CASE WHEN d > 0 THEN printf('%.2f', (l - m) / (sqrt(var) * d)) WHEN l > m THEN 'inf' WHEN l < m THEN '-inf' ELSE 'nan' END, a, z{{samples}}) AS line FROM t"""
+
+
+def chained(spark, sf, **options):
+    w = Window.partitionBy("read_id").orderBy(*_order.split(", "))
+    d = view(spark, sf, "aligned").selectExpr("read_id", "i as ord", "ref_pos", "event_index", "model_kmer", "cast(level as double) as level", "cast(stdv as double) as stdv", "duration")
+    d = d.withColumn("i", F.row_number().over(w) - 1).selectExpr(
+        "read_id", "i", "'chr1' as contig", "ref_pos", "'NNNNN' as ref_kmer", "cast(read_id as string) as read_name", "event_index", "model_kmer", "CASE WHEN i % 5 = 4 THEN 'B' ELSE 'M' END as hmm_state",
+        "i % 6 * 9 + read_id % 3 as start", "1 + duration % 8 as length", "level as mean", "stdv",
+    )
+    scalings = signals(spark, sf).selectExpr("read_id", "cast(read_id % 7 as double) as shift", "1 + read_id % 3 / 4D as scale", "1.5D as var")
+    model = spark.createDataFrame([("ACGTA", 70.5, 2.5), ("CGTAC", 60.25, 0.0)], "model_kmer string, model_mean double, model_stdv double")
+    return O.event_lines(d, signals(spark, sf), scalings, model, signal_index=True, **options).select("line")
+
+
+@query(
+    _chain.format(
+        fresh="(ref_pos = lag(ref_pos) OVER (PARTITION BY read_id ORDER BY number)) IS NOT TRUE",
+        level="(x - shift) / scale", mean="model_mean", dev="model_stdv", samples=", array_to_string(list_transform(part, lambda v: printf('%g', CAST((v - shift) / scale AS FLOAT))), ',')",
+    )
+)
+def eventalign_collapsed(spark, sf):
+    """From pairs, signals and model to lines: runs on samples, levels in units of the model, indexes and samples."""
+    return chained(spark, sf, collapse=True, scale_events=True, samples=True)
+
+
+@query(_chain.format(fresh="true", level="x", mean="scale * model_mean + shift", dev="model_stdv * var", samples=""))
+def eventalign_unscaled(spark, sf):
+    """Every event a line, the model in units of the read."""
+    return chained(spark, sf)
+
+
+@query(
+    f"""WITH p AS (SELECT read_id, max(event) - min(event) AS span FROM {PAIRS} WHERE event IS NOT NULL GROUP BY read_id), k AS (SELECT read_id, count(*) AS n FROM {PAIRS} GROUP BY read_id)
+ SELECT read_id, round(span / n::DOUBLE, 6) AS events_per_base FROM p JOIN k USING (read_id)"""
+)
+def events_per_base(spark, sf):
+    d = view(spark, sf, "aligned")
+    out = E.events_per_base(d.where("event is not null").select("read_id", "event"), d.groupBy("read_id").agg(F.count("*").alias("n_kmers")), "read_id")
+    return out.withColumn("events_per_base", F.round("events_per_base", 6))
+
+
+_codes = "ACGTMRWSYKVHDBN"
+_kmer = "concat(" + ", ".join(f"substr('{_codes}', CAST(1 + {x} AS INT), 1)" for x in ("l_partkey % 15", "l_suppkey % 15", "l_orderkey % 15")) + ")"
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT {_kmer} AS kmer FROM lineitem), s AS (SELECT unnest({[*S.SYMBOLS]}) AS c, unnest({[*S.SYMBOLS.values()]}) AS b), t AS (SELECT c, unnest(string_split(b, '')) AS b FROM s)
+ SELECT kmer, string_agg(x.b || y.b || z.b, ',' ORDER BY x.b || y.b || z.b) AS expanded, length(regexp_replace(kmer, '[ACGT]', '', 'g')) AS n_ambiguous, true AS valid
+ FROM k JOIN t x ON x.c = kmer[1] JOIN t y ON y.c = kmer[2] JOIN t z ON z.c = kmer[3] GROUP BY kmer"""
+)
+def iupac_expand(spark, sf):
+    """Every k-mer of ambiguity codes and all it stands for."""
+    d = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(f"{_kmer} as kmer").distinct()
+    k = F.col("kmer")
+    return d.select("kmer", F.array_join(S.expansions(k), ",").alias("expanded"), S.ambiguous_count(k).alias("n_ambiguous"), S.is_valid(k).alias("valid"))
+
+
+_halves = f"(SELECT read_id, CASE WHEN read_id % 2 = 0 THEN replace(seq, 'CG', 'MG') ELSE replace(seq, 'ACG', 'AMG') END || CASE WHEN read_id % 3 = 0 THEN 'M' ELSE '' END AS seq FROM {READS})"
+
+
+@query(f"SELECT read_id, reverse(translate(replace(seq, 'MG', '12'), 'ACGT12M', 'TGCAGMG')) AS other FROM {_halves}")
+def methylated_strand(spark, sf):
+    """The other strand of reads in which some sites are methylated and some end within a site."""
+    half = "CASE WHEN read_id % 2 = 0 THEN replace(seq, 'CG', 'MG') ELSE replace(seq, 'ACG', 'AMG') END || CASE WHEN read_id % 3 = 0 THEN 'M' ELSE '' END as seq"
+    return view(spark, sf, "reads").selectExpr("read_id", half).select("read_id", S.reverse_complement_methylated(F.col("seq")).alias("other"))
+
+
+_groups = "SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice) - 1 AS read_group, CASE o_orderkey % 4 WHEN 0 THEN 'rna' WHEN 1 THEN 'genomic_dna' WHEN 2 THEN 'other' END AS experiment_type, CASE o_orderkey % 5 WHEN 0 THEN 'sqk-lsk114' WHEN 1 THEN 'sqk-rna004' WHEN 2 THEN 'sqk-lsk109' WHEN 3 THEN 'sqk-lsk114' END AS sequencing_kit FROM {t}"
+
+
+@query(
+    f"""WITH g AS ({_groups.format(t="orders")}), z AS (SELECT * FROM g WHERE read_group = 0),
+ m AS (SELECT z.file, bool_or(z.experiment_type IS NOT NULL AND g.experiment_type IS DISTINCT FROM z.experiment_type) AS e, bool_or(z.sequencing_kit IS NOT NULL AND g.sequencing_kit IS DISTINCT FROM z.sequencing_kit) AS k FROM z JOIN g USING (file) GROUP BY z.file)
+ SELECT file, coalesce(experiment_type = 'rna', false) AS rna, CASE WHEN sequencing_kit LIKE '%114%' THEN 'r10' WHEN sequencing_kit LIKE '%rna004%' THEN 'rna004' ELSE 'r9' END AS pore,
+ concat_ws(',', CASE WHEN experiment_type IS NULL THEN 'no experiment type' WHEN experiment_type = 'other' THEN 'unknown experiment type' END, CASE WHEN e THEN 'experiment types differ' END, CASE WHEN sequencing_kit IS NULL THEN 'no sequencing kit' END, CASE WHEN k THEN 'sequencing kits differ' END) AS warnings FROM z JOIN m USING (file)"""
+)
+def detected_runs(spark, sf):
+    """Molecule and pore of every file of signals from its header, and what is odd in it."""
+    groups = spark.sql(_groups.format(t="{t}"), t=spark.read.parquet(f"{sf}/orders.parquet"))
+    return S.detect_run(groups).withColumn("warnings", F.array_join("warnings", ","))

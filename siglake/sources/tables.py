@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siglake.operators.frequency import formatted, merge_frequencies
+from siglake.operators.reads import last_paths
 from siglake.sources.lines import numbered_lines, write_ordered
 
 CALLS = "chromosome string, strand string, start int, end int, read_name string, log_lik_ratio double, log_lik_methylated double, log_lik_unmethylated double, num_calling_strands int, num_motifs int, sequence string"
@@ -60,9 +63,9 @@ def frequency_header(spark: SparkSession, path: str) -> str:
 
 
 def read_frequencies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Frequencies of one or many files, or of a folder whose part files have one header together, in either variant. Rules as for read_calls."""
+    """Frequencies of one or many files, or of a folder whose part files have one header together, in either variant. Rules as for read_calls, but that an empty line ends a file."""
     names = [c.split()[0] for c in FREQ.split(", ")]
-    lines = numbered_lines(spark, path, FREQ_HEADERS).where(~F.col("value").isin(*FREQ_HEADERS) | (F.col("line_no") > 1))
+    lines = numbered_lines(spark, path, FREQ_HEADERS, stop_at_blank=True).where(~F.col("value").isin(*FREQ_HEADERS) | (F.col("line_no") > 1))
     f = lines.select("line_no", F.col("header").isin(*FREQ_HEADERS).alias("known"), F.filter(F.split("value", "\t"), lambda x: x != "").alias("f"))
     wrong = lambda condition, text: F.when(condition, F.raise_error(F.concat(F.lit(text), F.lit(" in line "), F.col("line_no").cast("string"))))
     kinds = [c.split()[1] for c in FREQ.split(", ")]
@@ -78,12 +81,31 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, "contig string, r_start int, r_end int", header=False)
 
 
-def read_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    d = spark.read.csv(paths, sep="\t", header=True)
-    name = next((c for c in ("filename", "filename_fast5") if c in d.columns), None)
-    if name is None or "read_id" not in d.columns:
-        raise ValueError("a summary needs read_id and filename or filename_fast5")
-    return d.select("read_id", F.col(name).alias("filename"))
+def read_summary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """read_id and filename of one summary or many, each with columns in an order of its own."""
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        d = spark.read.csv(path, sep="\t", header=True)
+        name = next((c for c in ("filename", "filename_fast5") if c in d.columns), None)
+        if name is None or "read_id" not in d.columns:
+            raise ValueError(f"{path}: a summary needs read_id and filename or filename_fast5")
+        d = d.select("read_id", F.col(name).alias("filename"))
+        out = d if out is None else out.union(d)
+    return out
+
+
+def read_listed_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The summaries that a file lists, a path on each line."""
+    return read_summary(spark, [r.value for r in spark.read.text(path).collect() if r.value])  # a list of file names
+
+
+def read_bedmethyl(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chromosome, start, strand, coverage and percent of bedMethyl lines: fields 1, 2, 6, 10 and 11 between any white space. A line with fewer, or without numbers there, ends the job with its number."""
+    f = numbered_lines(spark, path).select("line_no", F.split(F.trim("value"), r"\s+").alias("f"))
+    get = lambda k, t: F.get("f", F.lit(k)).try_cast(t)
+    numbers = [get(1, "bigint"), get(9, "double"), get(10, "double")]
+    fault = F.when((F.size("f") < 11) | numbers[0].isNull() | numbers[1].isNull() | numbers[2].isNull(), F.raise_error(F.concat(F.lit("no bedMethyl in line "), F.col("line_no").cast("string"))))
+    return f.where(fault.isNull()).select(get(0, "string").alias("chromosome"), numbers[0].alias("start"), get(5, "string").alias("strand"), numbers[1].alias("coverage"), numbers[2].alias("percent"))
 
 
 def write_frequencies(freq: DataFrame, path: str, header: str | None = None, partitions: int | None = None) -> None:
@@ -116,4 +138,22 @@ def read_read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_read_index(paths: DataFrame, path: str) -> None:
-    paths.select("read_id", "path").orderBy("read_id").write.csv(path, sep="\t", header=False)
+    """Sorted by read_id over all part files."""
+    write_ordered(paths.select("read_id", F.concat_ws("\t", F.col("read_id").cast("string"), "path").alias("line")), ["read_id"], path)
+
+
+def merge_read_indexes(spark: SparkSession, paths: list[str], path: str) -> None:
+    """Several indexes as one; of a read in several the last one's path."""
+    parts = [read_read_index(spark, p).withColumn("ord", F.lit(k)) for k, p in enumerate(paths)]
+    write_read_index(last_paths(reduce(DataFrame.unionByName, parts)), path)
+
+
+def compared_lines(compared: DataFrame) -> DataFrame:
+    """chromosome, start, end and line of compared sites (compare_frequencies), frequencies with four digits."""
+    key = F.concat_ws(":", "chromosome", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
+    cells = [x for k in (1, 2) for x in (F.col(f"depth_{k}").cast("bigint").cast("string"), formatted(F.col(f"frequency_{k}"), 4))]
+    return compared.select("chromosome", "start", "end", F.concat_ws("\t", key, *cells).alias("line"))
+
+
+def write_compared(compared: DataFrame, path: str, partitions: int | None = None) -> None:
+    write_ordered(compared_lines(compared), ["chromosome", "start", "end"], path, "key\tdepth_1\tfrequency_1\tdepth_2\tfrequency_2", partitions)
