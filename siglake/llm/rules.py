@@ -5,21 +5,25 @@ mergeable quantile sketches: counts of values cut to their ``SKETCH_BITS``
 leading bits, a relative error under 1/64, so that two sketches merge by adding
 counts and the result does not depend on the order of merging. The sketches of
 a language's sources add up to the sketch of the language, and those to that of
-the corpus. Per language and source, quartiles give outlier fences; a source
-with fewer than ``min_docs`` documents uses the sketch of its language, a small
-language that of the corpus. A join of documents and fences filters.
+the corpus. Per language and source, quartiles give outlier fences. A source's
+quartiles are drawn to those of its language with the weight of ``weight``
+documents, and a language's to those of the corpus in the same way, so that a
+few documents decide little and many decide all but nothing is switched between.
+A join of documents and fences filters.
 
 The text is read once: the per-document counts (some 80 bytes) are written to
 the shared folder, and both the sketch and the filter read them there.
 
-Edge cases. Null or empty text: no words, base_failed. Null lang or source: a
+Edge cases. Long texts: read whole; a text's words and windows are held once.
+Ties: equal values count alike, so nothing depends on an order. Null or empty
+text: no words, base_failed. Null lang or source: a
 group of its own. Repeated documents: a row each. Extra columns are ignored. An
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglake.llm.common import WORD_GAP, checked_broadcast, materialize, words_sql
@@ -66,7 +70,16 @@ def document_counts(documents: DataFrame) -> DataFrame:
     )
 
 
-def fences(counts: DataFrame, min_docs: int) -> DataFrame:
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """keys, metric, n (documents), q1 and q3 of the sketches merged by keys: the least values with a quarter and three quarters of the documents up to them."""
+    merged = sketch.groupBy(*keys, "metric", "v").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys, "metric")
+    d = merged.select(*keys, "metric", "v", F.sum("n").over(w.orderBy("v")).alias("upto"), F.sum("n").over(w).alias("total"))
+    least = lambda part: F.min(F.when(4 * F.col("upto") >= part * F.col("total"), F.col("v")))
+    return d.groupBy(*keys, "metric").agg(F.max("total").alias("n"), least(1).alias("q1"), least(3).alias("q3"))
+
+
+def fences(counts: DataFrame, weight: int) -> DataFrame:
     """lang, source, and for each metric lo_ and hi_, from the merged sketches."""
     stacked = ", ".join(f"'{m}', {sql}" for m, (sql, _, _) in METRICS.items())
     sketch = (
@@ -76,26 +89,27 @@ def fences(counts: DataFrame, min_docs: int) -> DataFrame:
         .groupBy("lang", "source", "metric", "v")
         .agg(F.count("*").alias("n"))
     )
-    return counts.sparkSession.sql(fence_sql("{sketch}", min_docs), sketch=materialize(sketch, "sketch"))
-
-
-def fence_sql(sketch: str, min_docs: int) -> str:
-    picks = []
+    sketch = materialize(sketch, "sketch")
+    renamed = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
+    own, lang, all_ = quartiles(sketch, "lang", "source"), renamed(quartiles(sketch, "lang"), "l"), renamed(quartiles(sketch), "c")
+    d = own.join(lang, own.lang.eqNullSafe(F.col("l_lang")) & (own.metric == F.col("l_metric"))).join(F.broadcast(all_), F.col("metric") == F.col("c_metric"))  # a row per metric
+    drawn = lambda q: F.expr(f"(n * {q} + {weight} * ((l_n * l_{q} + {weight} * c_{q}) div (l_n + {weight}))) div (n + {weight})").alias(q)
+    d = d.select("lang", "source", "metric", drawn("q1"), drawn("q3"))
+    sides = []
     for m, (_, slack, both) in METRICS.items():
-        picks.append(f"max(case when metric = '{m}' then q3 + 3 * (q3 - q1) + {slack} end) as hi_{m}")
-        picks.append(f"max(case when metric = '{m}' then {f'q1 - 3 * (q3 - q1) - {slack}' if both else '-1'} end) as lo_{m}")
-    columns = ", ".join(f"f.{side}_{m}" for m in METRICS for side in ("hi", "lo"))
-    return FENCES.format(sketch=sketch, min_docs=min_docs, picks=", ".join(picks), fence_columns=columns)
+        of = lambda e, m=m: F.max(F.when(F.col("metric") == m, F.expr(e)))
+        sides += [of(f"q3 + 3 * (q3 - q1) + {slack}").alias(f"hi_{m}"), of(f"q1 - 3 * (q3 - q1) - {slack}" if both else "-1").alias(f"lo_{m}")]
+    return d.groupBy("lang", "source").agg(*sides)
 
 
 def within_sql() -> str:
     return " and ".join(f"{sql} between lo_{m} and hi_{m}" for m, (sql, _, _) in METRICS.items())
 
 
-def quality_rules(documents: DataFrame, *, min_docs: int = 100) -> DataFrame:
+def quality_rules(documents: DataFrame, *, weight: int = 100) -> DataFrame:
     """Counts, base verdict and the adaptive verdict of every document."""
     counts = materialize(document_counts(documents), "counts")
-    f = checked_broadcast(materialize(fences(counts, min_docs), "fences"))
+    f = checked_broadcast(materialize(fences(counts, weight), "fences"))
     f = f.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[c for c in f.columns if c[:3] in ("lo_", "hi_")])
     joined = counts.join(f, counts.lang.eqNullSafe(f.f_lang) & counts.source.eqNullSafe(f.f_source), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -103,30 +117,3 @@ def quality_rules(documents: DataFrame, *, min_docs: int = 100) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.expr(f"coalesce(n_words > 0 and {within_sql()}, false)")).alias("kept")
     )
 
-
-#: Runs in Spark and in DuckDB. Level 0 is the source, 1 the language, 2 the corpus; each level adds the counts of the one below.
-FENCES = """
-WITH leveled AS (
-  SELECT 0 AS level, lang AS l, source AS s, metric, v, n FROM {sketch}
-  UNION ALL SELECT 1, lang, '', metric, v, sum(n) FROM {sketch} GROUP BY lang, metric, v
-  UNION ALL SELECT 2, '', '', metric, v, sum(n) FROM {sketch} GROUP BY metric, v
-), ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, l, s, metric ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, l, s, metric) AS total FROM leveled
-), quartiles AS (
-  SELECT level, l, s, metric, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN v END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN v END) AS q3
-  FROM ranked GROUP BY level, l, s, metric
-), fenced AS (
-  SELECT level, l, s, max(total) AS total, {picks} FROM quartiles GROUP BY level, l, s
-), groups AS (
-  SELECT DISTINCT lang, source FROM {sketch}
-), keys AS (
-  SELECT lang, source, 0 AS level, lang AS l, source AS s FROM groups
-  UNION ALL SELECT lang, source, 1, lang, '' FROM groups
-  UNION ALL SELECT lang, source, 2, '', '' FROM groups
-), chosen AS (
-  SELECT g.lang, g.source, {fence_columns}, row_number() OVER (PARTITION BY g.lang, g.source ORDER BY g.level) AS k
-  FROM keys g JOIN fenced f ON f.level = g.level AND f.l IS NOT DISTINCT FROM g.l AND f.s IS NOT DISTINCT FROM g.s
-  WHERE f.total >= {min_docs} OR f.level = 2
-)
-SELECT * FROM chosen WHERE k = 1
-"""
