@@ -208,3 +208,10 @@ def resquiggle_paths(kmers: DataFrame, key: str, rna: bool = False) -> DataFrame
         found = found.join(kmers.groupBy(key).agg(F.max("n_kmers").alias("n_kmers")), key)
     first, last = ("n_kmers - first_pos", "n_kmers - 1 - last_pos") if rna else ("first_pos", "last_pos + 1")
     return found.select(key, "start_raw", "end_raw", F.expr(first).alias("start_kmer"), F.expr(last).alias("end_kmer"), "matches", "ss")
+
+
+def resquiggle_paf_rows(paths: DataFrame, key: str) -> DataFrame:
+    """resquiggle_paths as PAF lines, the read's own k-mers as target and as block. paths also with len_raw, n_kmers, and the read's own scale and shift, six digits each."""
+    tags = [F.concat(F.lit(f"{name}:f:"), printed(F.col(c).cast("double"), 6)) for name, c in (("sc", "scale"), ("sh", "shift"))]
+    name = F.col(key).cast("string")
+    return paths.select(_line(name, "len_raw", "start_raw", "end_raw", F.lit("+"), name, "n_kmers", "start_kmer", "end_kmer", "matches", "n_kmers", F.lit(NO_MAPQ), *tags, F.concat(F.lit("ss:Z:"), "ss")).alias("line"))

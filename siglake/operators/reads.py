@@ -49,6 +49,20 @@ def with_reads(alignments: DataFrame, reads: DataFrame, value: Column | None = N
     return alignments.join(values, "read_id", "left").withColumn(name, F.coalesce(name, F.lit(missing)))
 
 
+def with_paths(alignments: DataFrame, index: DataFrame, on_missing: str = "skip") -> DataFrame:
+    """Alignments with the path of their read's signal, from an index with a row per read (read_id, path). A read without a path, or with an empty one, is skipped, kept with none (keep), so that it can be counted, or ends the job (abort)."""
+    if on_missing not in ("skip", "keep", "abort"):
+        raise ValueError(f"on_missing is skip, keep or abort, not {on_missing}")
+    known = index.where("path <> ''").select("read_id", "path")
+    if on_missing == "skip":
+        return alignments.join(known, "read_id")
+    out = alignments.join(known, "read_id", "left")
+    if on_missing == "abort":
+        missing = F.raise_error(F.concat(F.lit("no signal path for read "), F.coalesce(F.col("read_id").cast("string"), F.lit("null"))))
+        out = out.withColumn("path", F.when(F.col("path").isNull(), missing).otherwise(F.col("path")))
+    return out
+
+
 def missing_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:
     return alignments.select("read_id").distinct().join(reads, "read_id", "left_anti")
 

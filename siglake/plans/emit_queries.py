@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siglake.operators import emit as O
 from siglake.operators import events as E
-from siglake.plans.registry import PAIRS, query
+from siglake.plans.registry import ORACLES, PAIRS, query
 from siglake.plans.views import view
 
 #: Events of a read laid out along its signal, with some samples between them.
@@ -125,3 +125,14 @@ SELECT read_id, min(start) AS start_raw, max(stop) AS end_raw, min(kmer) AS star
   string_agg(concat(CASE WHEN d <> 0 THEN concat(d, 'D') ELSE '' END, CASE WHEN b <> 0 THEN concat(b, 'I') ELSE '' END, CASE WHEN stop <> start THEN concat(stop - start, ',') ELSE '' END), '' ORDER BY kmer) AS ss FROM s GROUP BY read_id""")
 def resquiggle_steps(spark, sf):
     return O.resquiggle_paths(_kmers(spark, sf), "read_id")
+
+
+@query(
+    ORACLES["resquiggle_steps"].rstrip().replace("SELECT read_id, min(start) AS start_raw", "SELECT concat_ws(chr(9), read_id, 100000, start_raw, end_raw, '+', read_id, n_kmers, start_kmer, end_kmer, matches, n_kmers, 255, concat('sc:f:', printf('%.6f', 1 + read_id % 3 / 7::DOUBLE)), concat('sh:f:', printf('%.6f', -(read_id % 5) / 3::DOUBLE)), concat('ss:Z:', ss)) AS line FROM (SELECT read_id, min(start) AS start_raw")
+    + f") JOIN (SELECT read_id, count(*) AS n_kmers FROM {PAIRS} GROUP BY read_id) USING (read_id)"
+)
+def resquiggle_paf_lines(spark, sf):
+    """Each read's own scale and shift, not those of another."""
+    kmers = _kmers(spark, sf)
+    paths = O.resquiggle_paths(kmers, "read_id").join(kmers.groupBy("read_id").agg(F.max("n_kmers").alias("n_kmers")), "read_id")
+    return O.resquiggle_paf_rows(paths.selectExpr("*", "100000 as len_raw", "1 + read_id % 3 / 7D as scale", "-(read_id % 5) / 3D as shift"), "read_id")

@@ -7,6 +7,7 @@ from siglake.functions import signal as S
 from siglake.operators import emit as O
 from siglake.operators import events as E
 from siglake.operators import pairs as P
+from siglake.operators import reads as R
 from siglake.operators import signals as G
 from siglake.operators import slices as L
 from siglake.plans.registry import ALN, PAIRS, READS, query
@@ -47,6 +48,13 @@ def aln_signals(spark, sf):
     return out.select("read_id", "ord", F.size("samples").cast("bigint").alias("n"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
 
 
+@query(f"SELECT a.read_id, a.ord, p.path FROM {ALN} a LEFT JOIN (SELECT o_orderkey AS read_id, arg_max(concat('/p/', o_custkey), o_totalprice * 1000000 + o_custkey) AS path FROM orders WHERE o_orderkey % 4 > 0 GROUP BY 1) p USING (read_id)")
+def aln_paths(spark, sf):
+    """Alignments with their reads' paths, of several the last; those without one stay to be counted."""
+    index = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 4 > 0").selectExpr("o_orderkey as read_id", "concat('/p/', o_custkey) as path", "o_totalprice * 1000000 + o_custkey as ord")
+    return R.with_paths(view(spark, sf, "alignments").select("read_id", "ord"), R.last_paths(index), "keep")
+
+
 _order = "ord, ref_pos, level, stdv, duration"
 _events = f"""(SELECT *, (number % 6) * 9 + read_id % 3 AS start, 1 + duration % 8 AS length FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY {_order}) - 1 AS number
  FROM (SELECT read_id, i AS ord, ref_pos, event_index, model_kmer, CAST(level AS DOUBLE) AS level, CAST(stdv AS DOUBLE) AS stdv, duration FROM {{pairs}})))"""

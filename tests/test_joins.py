@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siglake.operators import events as E
 from siglake.operators import pairs as P
+from siglake.operators import reads as R
 from siglake.operators import run as run_
 from siglake.operators import signals as G
 from siglake.operators import slices as L
@@ -117,3 +118,12 @@ def test_moments_of_one_value(spark):
     m = spark.createDataFrame([("r", 2.0)] * 4, "k string, level_mean double")
     r = E.moment_scaling(e, m, "k").first()
     assert (r["shift"], r["scale"]) == (3.0, 1.0)
+
+
+def test_paths(spark):
+    alns = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "read_id string, n int")
+    index = spark.createDataFrame([("a", "/x"), ("b", ""), ("z", "/z")], "read_id string, path string")
+    rows = lambda mode: sorted((r.n, r.path) for r in R.with_paths(alns, index, mode).collect())
+    assert rows("skip") == [(1, "/x"), (2, "/x")] and rows("keep") == [(1, "/x"), (2, "/x"), (3, None), (4, None), (5, None)]
+    with pytest.raises(Exception, match="no signal path for read c"):
+        R.with_paths(alns.where("read_id = 'c'"), index, "abort").collect()
