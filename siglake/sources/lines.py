@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from siglake.sources.shared import checked_broadcast
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], headers: list[str] | None = None, stop_at_blank: bool = False) -> DataFrame:
-    """value, file, line_no (from 1 in its file), row_no (from 0 over all files in the order of their paths), header (the file's first line).
+def numbered_lines(spark: SparkSession, path: str | list[str], headers: list[str] | None = None) -> DataFrame:
+    """value, file, line_no (from 1 in its file), row_no (from 0 over all files in the order of their paths), header (the file's first line), ended (whether the line, or one before it in the file, is empty).
 
-    headers: the first lines that there may be; a file that starts with none of them goes on with the header of the file before, as part files of one text do. stop_at_blank: an empty line ends its file. Both passes are of one DataFrame, whose files and splits are fixed when it is made. Lines end with \\n, \\r\\n or \\r; an empty last line is none."""
+    headers: the first lines that there may be; a file that starts with none of them goes on with the header of the file before, as part files of one text do. Both passes are of one DataFrame, whose files and splits are fixed when it is made. Lines end with \\n, \\r\\n or \\r; an empty last line is none."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     splits = lines.groupBy("file", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"), F.min_by("value", "at").alias("first"), F.min(F.when(F.col("value") == "", F.col("at"))).alias("blank"))
     in_file = Window.partitionBy("file").orderBy("block")
@@ -29,10 +29,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str], headers: list[str
     if headers:
         splits = splits.withColumn("header", F.coalesce(F.last(F.when(F.col("header").isin(*headers), F.col("header")), True).over(in_order), "header"))
     place = F.col("at") - F.col("least")
-    lines = lines.join(checked_broadcast(splits), ["file", "block"])
-    if stop_at_blank:
-        lines = lines.where(F.coalesce(F.col("in_file") + place + 1 < F.col("blank"), F.lit(True)))
-    return lines.select("value", "file", (F.col("in_file") + place + 1).alias("line_no"), (F.col("before") + place).alias("row_no"), "header")
+    ended = F.coalesce(F.col("in_file") + place + 1 >= F.col("blank"), F.lit(False))
+    return lines.join(checked_broadcast(splits), ["file", "block"]).select("value", "file", (F.col("in_file") + place + 1).alias("line_no"), (F.col("before") + place).alias("row_no"), "header", ended.alias("ended"))
 
 
 def write_ordered(lines: DataFrame, order: list[str], path: str, header: Column | str | None = None, partitions: int | None = None) -> None:

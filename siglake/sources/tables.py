@@ -51,7 +51,8 @@ def read_calls(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     values = [F.get("f", F.lit(0)), F.when(F.col("stranded"), F.get("f", F.lit(1))), start, end, at(3), real(4), real(5), real(6), whole(7), motifs, at(9)]
     # a filter, so that no line goes unchecked, whatever is selected or filtered afterwards
-    return checked.where(~F.col("value").isin(*HEADERS) | (F.col("line_no") > 1)).where(fault.isNull()).select(*[v.alias(c) for v, c in zip(values, names)], "row_no")
+    row = ~F.col("value").isin(*HEADERS) | (F.col("line_no") > 1)
+    return checked.where(row & F.when(row, fault).isNull()).select(*[v.alias(c) for v, c in zip(values, names)], "row_no")
 
 
 def frequency_header(spark: SparkSession, path: str) -> str:
@@ -65,8 +66,9 @@ def frequency_header(spark: SparkSession, path: str) -> str:
 def read_frequencies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Frequencies of one or many files, or of a folder whose part files have one header together, in either variant. Rules as for read_calls, but that an empty line ends a file."""
     names = [c.split()[0] for c in FREQ.split(", ")]
-    lines = numbered_lines(spark, path, FREQ_HEADERS, stop_at_blank=True).where(~F.col("value").isin(*FREQ_HEADERS) | (F.col("line_no") > 1))
-    f = lines.select("line_no", F.col("header").isin(*FREQ_HEADERS).alias("known"), F.filter(F.split("value", "\t"), lambda x: x != "").alias("f"))
+    lines = numbered_lines(spark, path, FREQ_HEADERS)
+    row = ~F.col("ended") & (~F.col("value").isin(*FREQ_HEADERS) | (F.col("line_no") > 1))
+    f = lines.select("line_no", row.alias("row"), F.col("header").isin(*FREQ_HEADERS).alias("known"), F.filter(F.split("value", "\t"), lambda x: x != "").alias("f"))
     wrong = lambda condition, text: F.when(condition, F.raise_error(F.concat(F.lit(text), F.lit(" in line "), F.col("line_no").cast("string"))))
     kinds = [c.split()[1] for c in FREQ.split(", ")]
     values = [F.get("f", F.lit(k)).try_cast(t) for k, t in enumerate(kinds)]
@@ -74,7 +76,8 @@ def read_frequencies(spark: SparkSession, path: str | list[str]) -> DataFrame:
         wrong(~F.col("known"), "incorrect header"), wrong(F.size("f") < len(names), "too few columns"), wrong(F.size("f") > len(names), "more columns than expected"), wrong(F.coalesce(values[1] < 0, F.lit(True)) | F.coalesce(values[2] < 0, F.lit(True)), "negative or no coordinates"),
         wrong(F.coalesce(values[3] < 0, F.lit(True)), "negative or no number of motifs"), wrong(values[4].isNull() | values[5].isNull() | values[6].isNull(), "no number"),
     )
-    return f.where(fault.isNull()).select(*[v.alias(c) for v, c in zip(values, names)])
+    # filters may run in any order, so what raises asks itself whether the line is a row
+    return f.where(F.col("row") & F.when(F.col("row"), fault).isNull()).select(*[v.alias(c) for v, c in zip(values, names)])
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
