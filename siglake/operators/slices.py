@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siglake.sources.shared import checked_broadcast
+from siglake.sources.shared import checked_broadcast, shared_folder
 
 TILE = 1 << 14
 #: Tiles that may be broadcast: 64 MB of bases.
@@ -46,12 +46,16 @@ def tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
 
 def reference_slices(alignments: DataFrame, reference: DataFrame, key: list[str], tile: int = TILE) -> DataFrame:
     """key and ref_seq, the bases from pos to ref_end, which is included, as far as the contig goes; empty beyond its end, null where the contig is unknown. alignments: key (unique), contig, pos, ref_end; reference: contig, start, seq."""
-    known = reference.groupBy("contig").agg(F.max(F.col("start") + F.length("seq")).alias("size"))
+    spark = reference.sparkSession
+    path = shared_folder(spark, "tiles")
+    tiles(reference, tile).write.parquet(path)  # the reference is read once, whatever is counted and joined afterwards
+    cut = spark.read.parquet(path)
+    sizes = reference.select("contig", (F.col("start") + F.length("seq")).alias("end"))
+    known = sizes.groupBy("contig").agg(F.max("end").alias("size"))
     spans = alignments.select(*dict.fromkeys([*key, "contig"]), F.greatest(F.col("pos"), F.lit(0)).cast("bigint").alias("low"), F.greatest(F.col("ref_end"), F.lit(0)).cast("bigint").alias("high"))
     spans = spans.join(checked_broadcast(known), "contig", "left").withColumn("high", F.least("high", F.col("size") - 1))
     over = F.when(F.col("low") <= F.col("high"), F.sequence(F.expr(f"low div {tile}"), F.expr(f"high div {tile}")))
     asked = spans.withColumn("tile", F.explode_outer(over))
-    cut = tiles(reference, tile)
     cut = F.broadcast(cut) if cut.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES else cut
     found = asked.join(cut, ["contig", "tile"], "left")
     low = F.greatest(F.col("low") - F.col("at"), F.lit(0))
