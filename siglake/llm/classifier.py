@@ -15,7 +15,9 @@ is trained; every document is scored with its weights. ``lexicon_docs`` bounds
 the labelled rows that the lexicon comes from. These two samples are the only
 ones; votes, patterns, posteriors and scores cover all documents.
 
-Edge cases. Null or empty text: every labeller abstains, the row is kept with
+Edge cases. Long texts are read whole by every labeller and by the scorer. Ties:
+rows with equal hashes are sampled by their votes and words, which decide what is
+learned from them; equal posteriors give equal labels. Null or empty text: every labeller abstains, the row is kept with
 the prior's score. Repeated documents: a row each. No labels: the lexicon is
 empty. Empty table: no rows. Labels with null toxic are left out. Extra columns
 are ignored unless carry names them.
