@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siglake.llm.common import forgetful_parser
+
 ROUNDS = 8
 #: countries by the characters after an IBAN's check digits; of others, IBANs of digits or without spaces are found
 IBANS = {
@@ -169,8 +171,9 @@ def pseudonymize(documents: DataFrame, *, key: str) -> DataFrame:
     # a struct whose text is null failed validation; the next kind may still take the match
     new = "get(filter(array(" + ", ".join(f"CASE WHEN m rlike {quoted[k]} THEN named_struct('k', '{k}', 't', {rules[k](key)}) END" for k in KINDS) + "), y -> y.t is not null), 0)"
     plain = [c for c in documents.columns if c not in {f"n_{k}" for k in KINDS}]
-    d = documents.select(*plain, F.expr(f"CASE WHEN text rlike '[0-9@]' THEN regexp_extract_all(text, {QUOTED}, 0) END").alias("_found"))
-    d = d.select("*", F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, m -> {new}) END").alias("_new"))
     text = F.expr(f"CASE WHEN size(_found) > 0 THEN array_join(transform(split(text, {QUOTED}, -1), (g, i) -> concat(g, coalesce(get(_new, i).t, get(_found, i), ''))), '') ELSE text END")
     counts = [F.expr(f"cast(coalesce(size(filter(_new, y -> y.k = '{k}')), 0) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return d.select(*[text.alias("text") if c == "text" else c for c in plain], *counts)
+    with forgetful_parser(documents.sparkSession):
+        d = documents.select(*plain, F.expr(f"CASE WHEN text rlike '[0-9@]' THEN regexp_extract_all(text, {QUOTED}, 0) END").alias("_found"))
+        d = d.select("*", F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, m -> {new}) END").alias("_new"))
+        return d.select(*[text.alias("text") if c == "text" else c for c in plain], *counts)
