@@ -1,12 +1,14 @@
 """Slices of reference sequences for alignments, by a join on tiles.
 
 A reference is rows of (contig, start, seq), of any lengths: whole contigs, or
-the lines of a FASTA file with their offsets. They are cut into tiles of one
-size, so a long contig is spread over many keys. An alignment asks for the
-tiles it overlaps; what each gives is stitched by one aggregate on the
-alignment's key. Both sides of the join are keyed by contig and tile; a tile
-under very many alignments is one row on its side, which AQE splits the other
-side's rows against, and a small reference is broadcast after a count.
+the lines of a FASTA file with their offsets. What alignments lie on is cut into
+tiles of one size, so a long contig is spread over many keys. Tiles stand in
+bins of several sizes, each in two that follow each other, so an alignment lies
+in one bin of its own size, and its bases come from one row: they are cut out
+behind the join and never shuffled, nor is anything but the alignment's own
+columns. A bin under very many alignments is one row on its side, which AQE
+splits the other side's rows against, and a small reference is broadcast after
+its bases were counted.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from siglake.sources.shared import checked_broadcast, shared_folder
 
 TILE = 1 << 14
-#: Tiles that may be broadcast: 64 MB of bases.
-BROADCAST_TILES = 4096
+#: Bases that may be broadcast.
+BROADCAST_BASES = 64 << 20
+#: Bins of one level are so many times as wide as those below.
+WIDER = 8
 
 
 def placed_lines(lines: DataFrame) -> DataFrame:
@@ -44,22 +48,38 @@ def tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
     return parts.groupBy("contig", "tile").agg(F.min("at").alias("at"), whole.alias("seq"))
 
 
-def reference_slices(alignments: DataFrame, reference: DataFrame, key: list[str], tile: int = TILE) -> DataFrame:
-    """key and ref_seq, the bases from pos to ref_end, which is included, as far as the contig goes; empty beyond its end, null where the contig is unknown. alignments: key (unique), contig, pos, ref_end; reference: contig, start, seq."""
+def extents(alignments: DataFrame) -> DataFrame:
+    """contig, first, last and longest: between which places of a contig alignments (contig, pos, ref_end) lie, and how far the longest reaches."""
+    low, high = (F.greatest(F.col(c), F.lit(0)).cast("bigint") for c in ("pos", "ref_end"))
+    return alignments.groupBy("contig").agg(F.min(low).alias("first"), F.max(high).alias("last"), F.max(high - low).alias("longest"))
+
+
+def reference_slices(alignments: DataFrame, reference: DataFrame, key: list[str], tile: int = TILE, asked: DataFrame | None = None) -> DataFrame:
+    """key and ref_seq, the bases from pos to ref_end, which is included, as far as the contig goes; empty beyond its end, null where the contig is unknown. alignments: key, contig, pos, ref_end; reference: contig, start, seq; asked: extents that hold those of alignments, if these are dear to read twice."""
     spark = reference.sparkSession
+    path = shared_folder(spark, "extents")
+    (extents(alignments) if asked is None else asked).write.parquet(path)
+    asked = spark.read.parquet(path)
+    longest = asked.agg(F.max("longest")).first()[0] or 0
     path = shared_folder(spark, "tiles")
-    tiles(reference, tile).write.parquet(path)  # the reference is read once, whatever is counted and joined afterwards
+    within = reference.join(checked_broadcast(asked), "contig").where(F.expr("start <= last and start + length(seq) > first"))
+    tiles(within.select("contig", "start", "seq"), tile).write.parquet(path)  # cut once, whatever is counted and joined afterwards
     cut = spark.read.parquet(path)
+    widths = [tile]
+    while widths[-1] <= longest:
+        widths.append(widths[-1] * WIDER)
+    bins = ", ".join(f"named_struct('level', {k}, 'bin', tile * {tile} div {w} - {j})" for k, w in enumerate(widths) for j in (0, 1))
+    bases, wide_letters = cut.agg(F.sum(F.length("seq")), F.max(F.expr("octet_length(seq) > length(seq)"))).first()
+    part = F.struct("tile", "at", "seq" if wide_letters else F.col("seq").cast("binary").alias("seq"))  # one byte a base: places are found without counting letters
+    wide = cut.select("contig", F.expr(f"inline(array({bins}))"), part.alias("part")).groupBy("contig", "level", "bin").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    wide = F.broadcast(wide) if 2 * len(widths) * (bases or 0) <= BROADCAST_BASES else wide
     sizes = reference.select("contig", (F.col("start") + F.length("seq")).alias("end"))
     known = sizes.groupBy("contig").agg(F.max("end").alias("size"))
     spans = alignments.select(*dict.fromkeys([*key, "contig"]), F.greatest(F.col("pos"), F.lit(0)).cast("bigint").alias("low"), F.greatest(F.col("ref_end"), F.lit(0)).cast("bigint").alias("high"))
     spans = spans.join(checked_broadcast(known), "contig", "left").withColumn("high", F.least("high", F.col("size") - 1))
-    over = F.when(F.col("low") <= F.col("high"), F.sequence(F.expr(f"low div {tile}"), F.expr(f"high div {tile}")))
-    asked = spans.withColumn("tile", F.explode_outer(over))
-    cut = F.broadcast(cut) if cut.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES else cut
-    found = asked.join(cut, ["contig", "tile"], "left")
-    low = F.greatest(F.col("low") - F.col("at"), F.lit(0))
-    part = F.col("seq").substr((low + 1).cast("int"), F.greatest(F.col("high") - F.col("at") - low + 1, F.lit(0)).cast("int"))
-    pieces = found.select(*key, "size", "tile", part.alias("part"))
-    stitched = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("tile", "part")))), lambda x: x["part"]), "")
-    return pieces.groupBy(*key).agg(F.when(F.max("size").isNotNull(), stitched).alias("ref_seq"))
+    at = lambda value: "CASE " + " ".join(f"WHEN low > high THEN null WHEN high - low < {w} THEN {value(k, w)}" for k, w in enumerate(widths)) + " END"
+    spans = spans.withColumns({"level": F.expr(at(lambda k, w: k)), "bin": F.expr(at(lambda k, w: f"low div {w}"))})
+    found = spans.join(wide, ["contig", "level", "bin"], "left")
+    inside = f"filter(parts, x -> x.tile between low div {tile} and high div {tile})"
+    piece = "substring(x.seq, cast(greatest(low - x.at, 0) + 1 as int), cast(greatest(high - greatest(low, x.at) + 1, 0) as int))"
+    return found.select(*key, F.expr(f"CASE WHEN size IS NOT NULL THEN coalesce(array_join(transform({inside}, x -> cast({piece} as string)), ''), '') END").alias("ref_seq"))

@@ -25,8 +25,8 @@ _ends = "SELECT DISTINCT read_id, ord, contig, (pos * 977) % 300000 AS low, (pos
 def reference_slices(spark, sf):
     """The bases under every alignment; contigs are lines in order, alignments lie over ends of tiles and of contigs."""
     lines = view(spark, sf, "reads").selectExpr(f"{_contig} as contig", "ord", "seq")
-    alignments = view(spark, sf, "alignments").selectExpr("read_id", "ord", "contig", "(pos * 977) % 300000 as pos", "(pos * 977) % 300000 + mapq * 200 as ref_end").distinct()
-    out = L.reference_slices(alignments, L.placed_lines(lines), ["read_id", "ord", "contig", "pos", "ref_end"], tile=4096)
+    alignments = view(spark, sf, "alignments").selectExpr("read_id", "ord", "contig", "(pos * 977) % 300000 as pos", "(pos * 977) % 300000 + mapq * 200 as ref_end")
+    out = L.reference_slices(alignments.distinct(), L.placed_lines(lines), ["read_id", "ord", "contig", "pos", "ref_end"], tile=4096, asked=L.extents(alignments))
     return out.select("read_id", "ord", F.length("ref_seq").cast("bigint").alias("n"), F.md5("ref_seq").alias("digest"))
 
 

@@ -25,6 +25,23 @@ def test_slices_over_tiles_and_ends(spark):
     assert all(got[100 + k] == whole["a"][k : k + 301] for k in range(600))
 
 
+@pytest.mark.parametrize("ascii_only", [True, False])
+def test_bases_are_not_shuffled(spark, monkeypatch, ascii_only):
+    rng = np.random.default_rng(2)
+    whole = "".join(rng.choice(list("ACGT"), 40_000))
+    whole = whole if ascii_only else whole.replace("AC", "Ä")[:30_000].ljust(40_000, "ß")
+    ref = spark.createDataFrame([("a", k, whole[k : k + 70]) for k in range(0, 40_000, 70)], "contig string, start long, seq string")
+    lengths = [1, 63, 64, 65, 511, 512, 513, 4095, 4096, 4097, 30_000]
+    spans = [(n, int(low)) for n in lengths for low in rng.integers(0, 40_000, 30)]
+    alns = spark.createDataFrame([(k, "a", low, low + n - 1) for k, (n, low) in enumerate(spans)], "id long, contig string, pos long, ref_end long")
+    for bases in (64 << 20, 0):
+        monkeypatch.setattr(L, "BROADCAST_BASES", bases)
+        out = L.reference_slices(alns, ref, ["id"], tile=64)
+        assert {r.id: r.ref_seq for r in out.collect()} == {k: whole[low : low + n] for k, (n, low) in enumerate(spans)}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == plan.count("Aggregate [contig") == 2  # of the reference; none gathers what an alignment lies on
+
+
 def test_signals_are_pruned_before_they_are_shuffled(spark):
     wide = spark.range(20_000).selectExpr("id as read_id", "array(id, id + 1) as samples", "4000D as sample_rate")
     rows = spark.range(0, 20_000, 100).selectExpr("id as read_id", "id % 7 as x")
